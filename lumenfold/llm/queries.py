@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .near_duplicates import found_pairs, groups, near_duplicates
 from .vectors import nearest_vectors
 
 
@@ -19,7 +20,19 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return n.select(F.least("item_id", "near_id").alias("item_id_a"), F.greatest("item_id", "near_id").alias("item_id_b")).distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of items whose search texts share 60% of their 8-grams."""
+    return found_pairs(near_duplicates(table(spark, d, "items")))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Items with a near-duplicate: their group, copies and number of links."""
+    return groups(near_duplicates(table(spark, d, "items"))).withColumnRenamed("id", "item_id")
+
+
 QUERIES = {
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_neighbours": p6_neighbours,
 }
