@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .encodings import fill_lost, garbled_values
+from .lookalikes import canonical_texts, look_alike_pairs
 from .near_duplicates import found_pairs, groups, near_duplicates
+from .repeated_lines import repeated_lines, without_lines
 from .vectors import nearest_vectors
 
 
@@ -30,7 +33,46 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(near_duplicates(table(spark, d, "items"))).withColumnRenamed("id", "item_id")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that one of an item's sources repeats in many of its items."""
+    return repeated_lines(table(spark, d, "items"), table(spark, d, "item_sources"))
+
+
+def p2_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every body without the lines its sources repeat."""
+    return without_lines(table(spark, d, "items"), p2_found(spark, d))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items whose titles or search texts look the same but differ."""
+    return look_alike_pairs(canonical_texts(table(spark, d, "items")))
+
+
+def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and search texts that change, in their one form."""
+    changed = canonical_texts(table(spark, d, "items")).filter("raw <> canon")
+    return changed.select(F.col("id").alias("item_id"), F.col("field").alias("field_name"), F.col("text").alias("canonical"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Titles and bodies that were decoded in an encoding they weren't written in."""
+    return garbled_values(table(spark, d, "items")).select(F.col("id").alias("item_id"), F.col("field").alias("field_name"))
+
+
+def p4_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Those values as first written, with lost letters filled in where a corpus word fits."""
+    items = table(spark, d, "items")
+    values = items.select(F.col("title").alias("text")).unionByName(items.select(F.col("content_html").alias("text")))
+    return fill_lost(garbled_values(items), values).select(F.col("id").alias("item_id"), F.col("field").alias("field_name"), F.col("text").alias("restored"), "lost")
+
+
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_restored": p4_restored,
+    "p2_found": p2_found,
+    "p2_cleaned": p2_cleaned,
+    "p3_found": p3_found,
+    "p3_canonical": p3_canonical,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
