@@ -10,6 +10,8 @@ from .encodings import fill_lost, garbled_values
 from .lookalikes import canonical_texts, look_alike_pairs
 from .near_duplicates import found_pairs, groups, near_duplicates
 from .repeated_lines import repeated_lines, without_lines
+from .subjects import document_subjects, subject_shares
+from .truncation import source_rates, truncated_values
 from .vectors import nearest_vectors
 
 
@@ -66,7 +68,33 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     return fill_lost(garbled_values(items), values).select(F.col("id").alias("item_id"), F.col("field").alias("field_name"), F.col("text").alias("restored"), "lost")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Summaries and bodies that stop before their text does."""
+    return truncated_values(table(spark, d, "items")).select(F.col("id").alias("item_id"), "field_name")
+
+
+def p7_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source truncates each field."""
+    items = table(spark, d, "items")
+    return source_rates(items, table(spark, d, "item_sources"), truncated_values(items))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the subjects of at least a fifth of their sentences."""
+    return document_subjects(table(spark, d, "documents"), table(spark, d, "doc_labels")).select("doc_id", "subject")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject."""
+    documents = table(spark, d, "documents")
+    return subject_shares(documents, document_subjects(documents, table(spark, d, "doc_labels")))
+
+
 QUERIES = {
+    "p10_found": p10_found,
+    "p10_shares": p10_shares,
+    "p7_found": p7_found,
+    "p7_sources": p7_sources,
     "p4_found": p4_found,
     "p4_restored": p4_restored,
     "p2_found": p2_found,
