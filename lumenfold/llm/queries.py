@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
 from .encodings import fill_lost, garbled_values
 from .lookalikes import canonical_texts, look_alike_pairs
+from .mixing import mix_report, mix_sources
 from .near_duplicates import found_pairs, groups, near_duplicates
+from .packing import fill_containers, fill_report
 from .repeated_lines import repeated_lines, without_lines
 from .subjects import document_subjects, subject_shares
+from .tokens import token_sizes
 from .truncation import source_rates, truncated_values
 from .vectors import nearest_vectors
 
@@ -90,7 +93,37 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return subject_shares(documents, document_subjects(documents, table(spark, d, "doc_labels")))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's pieces in a container of each capacity."""
+    sized = cut(token_sizes(table(spark, d, "documents")))
+    return fill_containers(sized, table(spark, d, "containers"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers needed and how full they are."""
+    return fill_report(p8_packed(spark, d))
+
+
+def _sized_with_copies(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents").withColumn("copy_of", F.md5(F.coalesce("text", F.lit(""))))
+    return cut(token_sizes(documents, ("source", "copy_of")))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents drawn from each source and how often each is used."""
+    return mix_sources(_sized_with_copies(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached against the targets."""
+    return mix_report(p9_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 QUERIES = {
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
     "p7_found": p7_found,
