@@ -6,6 +6,7 @@ import ipaddress
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Networks that are never fetched, and those only private use allows.
 NEVER = ["0.0.0.0/8", "169.254.0.0/16", "100.64.0.0/10", "224.0.0.0/3", "::/128", "fe80::/10", "ff00::/8"]
@@ -27,7 +28,7 @@ def blocked(address: str | None, allow_private: bool = False) -> bool:
 
 
 def ip_blocked(allow_private: bool = False):
-    @F.pandas_udf("boolean")
+    @F.pandas_udf(T.BooleanType())
     def run(address: pd.Series) -> pd.Series:
         return address.map(lambda a: blocked(a, allow_private))
 

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: what counts as white space in feed text.
 BLANK = r"[\t\n\x0B\f\r\x20\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
@@ -91,7 +92,7 @@ def snippet_to_text(s: str | None) -> str:
     return " ".join(_ENTITY.sub(one, re.sub(r"<[^>]+>", "", s or "")).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def snippet_text(s: pd.Series) -> pd.Series:
     return s.map(snippet_to_text)
 

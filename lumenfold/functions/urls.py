@@ -6,8 +6,9 @@ import re
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Query parameters that never identify content.
 TRACKING_NAMES = (
@@ -55,7 +56,7 @@ def resolve_absolute(url: Column) -> Column:
     return F.when(is_web_url(url), built)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _joined(href: pd.Series, base: pd.Series) -> pd.Series:
     out = []
     for h, b in zip(href, base):
@@ -66,11 +67,13 @@ def _joined(href: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def resolve_url(href: Column, base: Column) -> Column:
-    """A possibly relative href against its base.  Only relative ones leave the
-    JVM: the join passes through Python, absolute URLs do not."""
-    relative = F.when(~href.rlike(r"^\s*[A-Za-z][A-Za-z0-9+.-]*:"), href)
-    return resolve_absolute(F.when(relative.isNull(), href).otherwise(_joined(relative, base)))
+def with_resolved(df: DataFrame, href: str, base: str, name: str = "resolved") -> DataFrame:
+    """df with `name`: a possibly relative href against its base, resolved and
+    freed of tracking parameters; null where that gives no http(s) URL.  Only
+    relative ones are joined, in Python; absolute URLs stay in the JVM."""
+    relative = F.when(~F.col(href).rlike(r"^\s*[A-Za-z][A-Za-z0-9+.-]*:"), F.col(href))
+    joined = df.withColumn("_relative", _joined(relative, F.col(base)))
+    return joined.withColumn(name, resolve_absolute(F.coalesce("_relative", href))).drop("_relative")
 
 
 def canonical_url(url: Column) -> Column:
@@ -116,6 +119,6 @@ def absolutize(html: str | None, base: str | None) -> str | None:
     return _ATTRIBUTE.sub(swap, html)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def absolutize_html(html: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([absolutize(h, b) for h, b in zip(html, base)])

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, search_text
-from ..functions.urls import canonical_url, resolve_url
+from ..functions.urls import canonical_url, with_resolved
 
 
 def normalize_items(raw: DataFrame, base_col: str = "base") -> DataFrame:
     """Raw records as items; records without a usable URL are dropped.  `instant`
     is the parsed date, null where there is none."""
-    url = resolve_url(F.col("url"), F.col(base_col))
-    rows = raw.withColumn("resolved", url).filter("resolved is not null").withColumn("canonical_url", canonical_url(F.col("resolved")))
+    rows = with_resolved(raw, "url", base_col).filter("resolved is not null").withColumn("canonical_url", canonical_url(F.col("resolved")))
     return rows.select(
         F.sha2("canonical_url", 256).alias("id"), F.col("resolved").alias("url"), "canonical_url",
         clean_text(F.col("title")).alias("title"), clean_text(F.col("author")).alias("author"), F.nullif(F.trim("guid"), F.lit("")).alias("guid"),
