@@ -4,8 +4,9 @@ Items over the capacity are split; full pieces fill containers, the last piece
 is an item like others.  Lengths above capacity / SMALL form groups of equal
 cardinality and are rounded up to the largest of their group.  For the few
 rounded sizes configurations (what goes together into one container) are
-optimised by column generation; actual items then take the places of rounded
-ones, and small items go best-fit into what is left.
+optimised by bounded knapsacks; actual items then take the places of rounded
+ones, and small items and the rest go best-fit, largest first, into what is
+left.
 
 Large tables are packed in parallel shards of about SHARD_ITEMS items, dealt by
 a hash of the id; each shard wastes at most the open containers of its end.
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 SMALL = 8
-GROUPS = 24
+GROUPS = 200
+CELLS = 1024
+FULL = 0.995
 SHARD_ITEMS = 16_384
 
 
@@ -35,87 +38,52 @@ def size_groups(sizes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.minimum(np.arange(len(sizes)) * groups // max(len(sizes), 1), groups - 1)
 
 
-def _best_pattern(rounded, value, capacity, limits):
-    """Knapsack over the few sizes: counts of most value that fit, by dynamic
-    programming over capacity scaled to at most 512 steps."""
-    step = max(1, math.ceil(capacity / 512))
+def _best_pattern(sizes, demand, capacity):
+    """Counts per size of the fullest container that the demand can fill: a
+    bounded knapsack over capacity in CELLS steps, which slightly prefers large
+    sizes, as they are the harder ones to place later."""
+    step = max(1, math.ceil(capacity / CELLS))
     cells = capacity // step
-    weight = [max(1, math.ceil(r / step)) for r in rounded]
+    units = [k for k, s in enumerate(sizes) for _ in range(min(demand[k], capacity // s))]
     best = np.zeros(cells + 1)
-    choice = np.full(cells + 1, -1, dtype=np.int64)
-    for c in range(1, cells + 1):
-        top, at = best[c - 1], -2
-        for k, w in enumerate(weight):
-            if w <= c and best[c - w] + value[k] > top + 1e-12:
-                top, at = best[c - w] + value[k], k
-        best[c], choice[c] = top, at
-    counts, c = [0] * len(rounded), cells
-    while c > 0:
-        k = choice[c]
-        if k == -2:
-            c -= 1
+    taken = np.zeros((len(units), cells + 1), dtype=bool)
+    for u, k in enumerate(units):
+        w = math.ceil(sizes[k] / step)
+        value = sizes[k] * (1 + 0.02 * sizes[k] / capacity)
+        if w > cells:
             continue
-        if k < 0:
-            break
-        counts[k] += 1
-        c -= weight[k]
-    return [min(n, m) for n, m in zip(counts, limits)], best[cells]
-
-
-def configurations(rounded: list[int], demand: list[int], capacity: int, rounds: int = 40):
-    """(counts per size, times) that cover the demand: column generation with
-    multiplicative-weight prices, then largest-first rounding down."""
-    live = [k for k, d in enumerate(demand) if d > 0]
-    if not live:
-        return []
-    sizes = [rounded[k] for k in live]
-    left = [demand[k] for k in live]
-    price = np.array([s / capacity for s in sizes], dtype=float)
-    patterns: list[list[int]] = []
-    for k, s in enumerate(sizes):
-        single = [0] * len(sizes)
-        single[k] = min(capacity // s, left[k])
-        patterns.append(single)
-    use = np.zeros(len(sizes))
-    for _ in range(rounds):
-        p, value = _best_pattern(sizes, price, capacity, left)
-        if not any(p) or p in patterns and value <= 1.0 + 1e-9:
-            break
-        if p not in patterns:
-            patterns.append(p)
-        use += np.array(p) / np.maximum(left, 1)
-        price *= np.exp(-0.3 * (np.array(p) / np.maximum(left, 1)) / max(1e-9, (np.array(p) / np.maximum(left, 1)).max()))
-        price = np.maximum(price, 1e-6) * 1.02
-        price /= max(1e-9, max(np.dot(q, price) for q in patterns))
-    full = [(sum(n * s for n, s in zip(p, sizes)), p) for p in patterns]
-    full.sort(key=lambda x: (-x[0], x[1]))
+        with_it = best[: cells + 1 - w] + value
+        better = with_it > best[w:] + 1e-12
+        taken[u, w:] = better
+        best[w:] = np.where(better, with_it, best[w:])
+    counts, c = [0] * len(sizes), cells
+    for u in range(len(units) - 1, -1, -1):
+        if taken[u, c]:
+            counts[units[u]] += 1
+            c -= math.ceil(sizes[units[u]] / step)
+    return counts
+
+
+def configurations(rounded: list[int], demand: list[int], capacity: int):
+    """(counts per size, times): configurations over FULL of the capacity, each
+    used until one of its sizes runs out, so that there are few of them.
+    Sizes that no such configuration takes are left to best-fit."""
+    left = list(demand)
     out = []
-    for used, p in full:
-        if used < 0.9 * capacity:
+    while any(left):
+        live = [k for k, d in enumerate(left) if d > 0 and rounded[k] <= capacity]
+        if not live:
             break
-        times = min((left[k] // n for k, n in enumerate(p) if n), default=0)
-        if times:
-            out.append((p, times))
-            left = [d - n * times for d, n in zip(left, p)]
-    while any(left):  # the rest: fullest container that the remaining items make
-        p, _ = _best_pattern(sizes, [s / capacity for s in sizes], capacity, left)
-        # a pattern may ask for more of a size than is left; top up with what fits
-        room = capacity - sum(n * s for n, s in zip(p, sizes))
-        for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
-            add = min(left[k] - p[k], room // sizes[k])
-            if add > 0:
-                p[k] += add
-                room -= add * sizes[k]
-        times = max(1, min((left[k] // n for k, n in enumerate(p) if n), default=1))
-        out.append((p, times))
-        left = [d - n * times for d, n in zip(left, p)]
-    spread = []
-    for p, times in out:
-        whole = [0] * len(rounded)
-        for k, n in zip(live, p):
-            whole[k] = n
-        spread.append((whole, times))
-    return spread
+        p = _best_pattern([rounded[k] for k in live], [left[k] for k in live], capacity)
+        if sum(n * rounded[k] for n, k in zip(p, live)) < FULL * capacity:
+            break
+        counts = [0] * len(rounded)
+        for n, k in zip(p, live):
+            counts[k] = n
+        times = min(left[k] // n for k, n in enumerate(counts) if n)
+        out.append((counts, times))
+        left = [d - n * times for d, n in zip(left, counts)]
+    return out
 
 
 class OpenBins:
@@ -142,6 +110,7 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
     out = [-1] * len(sizes)
     count = 0
     bins = OpenBins()
+    rest: list[int] = []
     if large:
         groups = size_groups(np.array([sizes[i] for i in large]))
         members: dict[int, list[int]] = defaultdict(list)
@@ -164,7 +133,8 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
                 if placed:
                     bins.add(space, count)
                     count += 1
-    for i in reversed(small):
+        rest = [i for k in queues for i in queues[k]]
+    for i in sorted(small + rest, key=lambda i: (-sizes[i], i)):
         got = bins.take(sizes[i])
         if got is None:
             got = (capacity, count)

@@ -182,7 +182,7 @@ def _assigned(index, width: int):
 
 
 def _searched(width: int, k: int):
-    def run(key, lists: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, lists: pd.DataFrame) -> pd.DataFrame:
         role = lists["role"].to_numpy()
         kept = lists["key"].to_numpy()
         x = np.frombuffer(b"".join(lists["vec"]), dtype=np.float32).reshape(-1, width)
