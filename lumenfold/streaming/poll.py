@@ -28,7 +28,7 @@ def ingest_batch(files: DataFrame, store_path: str) -> DataFrame:
 
 def poll_files(spark: SparkSession, directory: str, store_path: str, checkpoint: str):
     """Start the stream over the files of a directory; it ends when all are read."""
-    files = spark.readStream.format("binaryFile").load(directory)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(directory)
 
     def write(batch: DataFrame, _epoch: int) -> None:
         ingest_batch(batch.select("path", "content"), store_path).write.mode("append").parquet(store_path)
