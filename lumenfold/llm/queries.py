@@ -140,4 +140,11 @@ QUERIES = {
     "p6_neighbours": p6_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_NEAR = """WITH v AS (SELECT item_id, CAST(embedding AS DOUBLE[]) AS e FROM item_embeddings WHERE embedding IS NOT NULL AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+ u AS (SELECT item_id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+ c AS (SELECT a.item_id AS q, b.item_id AS near, list_dot_product(a.e, b.e) / (a.n * b.n) AS cosine FROM u a JOIN u b ON a.item_id <> b.item_id),
+ r AS (SELECT q, near, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, near) AS rank FROM c QUALIFY rank <= 5)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "p6_found": _NEAR + " SELECT DISTINCT least(q, near) AS item_id_a, greatest(q, near) AS item_id_b FROM r",
+}
