@@ -264,3 +264,26 @@ def readings(text: str | None, fetched_us: int | None, order: str | None, zone_n
     kept = [r for r in found if r[0] >= FLOOR_US and (top is None or r[0] <= top)]
     kept.sort(key=lambda r: (r[2], r[0]))
     return kept
+
+
+_BACK = re.compile(r"(\d{1,9})\s*([smhdw])", re.I)
+_BACK_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
+
+
+def parse_since(text: str | None, now: datetime) -> datetime | None:
+    """The instant of a `since` argument: `7d` back from now, or a date.  Blank
+    means no bound; anything unreadable raises, so that a typo never widens a
+    search to everything."""
+    if text is None or not text.strip():
+        return None
+    s = text.strip()
+    m = _BACK.fullmatch(s)
+    if m:
+        try:
+            return now - timedelta(seconds=int(m[1]) * _BACK_SECONDS[m[2].lower()])
+        except OverflowError:
+            raise ValueError(f"since: {text!r} is out of range") from None
+    got = readings(s, None, "dmy", None)
+    if not got:
+        raise ValueError(f"since: {text!r} is not a time")
+    return EPOCH + timedelta(microseconds=got[0][0])

@@ -19,6 +19,29 @@ def check_width(width) -> int:
     return width
 
 
+def model_state(configured: tuple[str, str] | None, stored: tuple[str, str] | None) -> str:
+    """disabled, uninitialised, ready or mismatch, from (provider, model)."""
+    if configured is None:
+        return "disabled"
+    if stored is None:
+        return "uninitialised"
+    return "ready" if configured == stored else "mismatch"
+
+
+def reindex(vectors: DataFrame, root: str, version: int) -> str:
+    """Write a full set of vectors of one width as a new version of the store
+    and point to it last, so that readers see either the old set or the new."""
+    path = f"{root}/v{version}"
+    vectors.write.mode("errorifexists").parquet(path)
+    pointer = vectors.sparkSession.createDataFrame([(version, path)], "version int, path string")
+    pointer.coalesce(1).write.mode("overwrite").json(f"{root}/current")
+    return path
+
+
+def current_vectors(spark, root: str) -> DataFrame:
+    return spark.read.parquet(spark.read.json(f"{root}/current").head()["path"])
+
+
 def pending(items: DataFrame, vectors: DataFrame, failures: DataFrame | None, now, limit: int) -> DataFrame:
     """Newest items without a vector whose retry is due."""
     rows = items.join(vectors.select(F.col("item_id").alias("id")), "id", "left_anti")

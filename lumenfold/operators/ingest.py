@@ -53,3 +53,15 @@ def fetch_backoff(interval, failures, permanent):
 
 def embed_backoff(failures):
     return F.least(F.lit(60.0) * F.pow(F.lit(2.0), F.greatest(F.lit(0), F.least(failures - 1, F.lit(30)))), F.lit(86400.0)).cast("long")
+
+
+def fetch_outcome(status, body_hash, last_hash):
+    """unchanged (304, or the body seen last time), fetched, retry or failed:
+    4xx other than 429 are permanent, everything else is worth another try."""
+    return (
+        F.when(status == 304, "unchanged")
+        .when(status.between(200, 299) & body_hash.eqNullSafe(last_hash) & body_hash.isNotNull(), "unchanged")
+        .when(status.between(200, 299), "fetched")
+        .when(status.between(400, 499) & (status != 429), "failed")
+        .otherwise("retry")
+    )

@@ -119,3 +119,44 @@ def test_stream(spark, tmp_path):
         q = poll_files(spark, str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "ckpt"))
         q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "store")).count() == 1
+
+
+def test_outcomes_states_and_versions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from lumenfold.operators import embeddings, ingest
+
+    rows = [(304, None, "a"), (200, "a", "a"), (200, "b", "a"), (200, "b", None), (404, None, "a"), (503, None, "a"), (429, None, "a")]
+    df = spark.createDataFrame(rows, "status int, h string, last string")
+    got = [r[0] for r in df.select(ingest.fetch_outcome(F.col("status"), F.col("h"), F.col("last"))).collect()]
+    assert got == ["unchanged", "unchanged", "fetched", "fetched", "failed", "retry", "retry"]
+    assert [embeddings.model_state(*x) for x in [(None, None), (("p", "m"), None), (("p", "m"), ("p", "m")), (("p", "m"), ("p", "n"))]] == ["disabled", "uninitialised", "ready", "mismatch"]
+    v = spark.createDataFrame([("i", [1.0])], "item_id string, embedding array<float>")
+    for n in (1, 2):
+        embeddings.reindex(v, str(tmp_path / "s"), n)
+    assert embeddings.current_vectors(spark, str(tmp_path / "s")).count() == 1
+    with pytest.raises(ValueError):
+        embeddings.check_width(2001)
+
+
+def test_embed_pass_splits_failing_batches(spark):
+    from lumenfold.operators import embeddings
+
+    def provider(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no")
+        return [[float(len(t))] for t in texts]
+
+    df = spark.createDataFrame([("a", "x"), ("b", "bad"), ("c", "xyz")], "item_id string, text string")
+    got = {r["item_id"]: (r["embedding"], r["error"]) for r in embeddings.embed_pass(df.coalesce(1), provider).collect()}
+    assert got == {"a": ([1.0], None), "b": (None, "no"), "c": ([3.0], None)}
+
+
+def test_state_patch(spark):
+    from lumenfold.operators import timeline
+
+    log = spark.createDataFrame([("u", "i", "2026-01-01", None, "2026-01-01")], "user_id string, item_id string, r string, s string, w string").selectExpr(
+        "user_id", "item_id", "to_timestamp(r) read_at", "to_timestamp(s) starred_at", "to_timestamp(w) updated_at")
+    patch = spark.createDataFrame([("u", "i", False, True), ("u", "j", None, True)], "user_id string, item_id string, read_at boolean, starred_at boolean")
+    got = {r["item_id"]: r for r in timeline.latest_state(timeline.patch_state(log, patch, "2026-02-01 00:00:00")).collect()}
+    assert got["i"]["read_at"] is None and got["i"]["starred_at"] is not None and got["j"]["starred_at"] is not None and got["j"]["read_at"] is None

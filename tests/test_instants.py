@@ -103,3 +103,15 @@ def test_normalise_edges(spark):
     assert by["x"]["instant"] == dt.datetime(2024, 12, 31, 15) and by["x"]["by_rule"]
     assert by["z"]["instant"] is None and by["z"]["instants"] == []
     assert normalise_instants(df.limit(0)).count() == 0
+
+
+def test_since():
+    from lumenfold.functions.date_text import parse_since
+
+    now = dt.datetime(2026, 8, 10, 12, tzinfo=dt.timezone.utc)
+    for s, want in [("7d", "2026-08-03T12:00"), ("1w", "2026-08-03T12:00"), ("7 D", "2026-08-03T12:00"), ("2h", "2026-08-10T10:00"), ("30m", "2026-08-10T11:30"), ("2026-08-01", "2026-08-01T00:00")]:
+        assert parse_since(s, now).isoformat().startswith(want)
+    assert parse_since(" ", now) is None and parse_since(None, now) is None
+    for bad in ("last tuesday", "7 fortnights", "99999999999999999999d"):
+        with pytest.raises(ValueError):
+            parse_since(bad, now)
