@@ -201,15 +201,16 @@ def normalise_instants(
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source_id"),
         F.coalesce(F.floor(fetched_us / (86_400_000_000 * window_days)), F.lit(-1)).alias("win"),
         fetched_us.alias("fetched_us"),
-        F.col(key).alias("key"),
+        F.col(key).cast("string").alias("key"),  # as text, for a null would turn whole batches of ids into floats
+        F.col(key).alias("key_order"),
         F.col(text).cast("string").alias("text"),
         F.col(config).cast("string").alias("config"),
         kept.alias("kept"),
     )
-    rows = rows.repartition("source_id", "win").sortWithinPartitions("source_id", "win", "fetched_us", "key")
+    rows = rows.repartition("source_id", "win").sortWithinPartitions("source_id", "win", "fetched_us", "key_order").drop("key_order")
     schema = T.StructType(
         [
-            T.StructField("key", key_type),
+            T.StructField("key", T.StringType()),
             T.StructField("kept", kept_type),
             T.StructField("instants_us", T.ArrayType(T.LongType())),
             T.StructField("formats", T.ArrayType(T.StringType())),
@@ -221,7 +222,7 @@ def normalise_instants(
     )
     out = rows.mapInPandas(_decode, schema)
     stamps = lambda c: F.transform(c, lambda x: F.timestamp_micros(x))
-    columns = [F.col("key").alias(key)] + ([F.col("kept").alias(keep)] if keep else [])
+    columns = [F.col("key").cast(key_type).alias(key)] + ([F.col("kept").alias(keep)] if keep else [])
     return out.select(
         *columns,
         stamps("instants_us").alias("instants"),
