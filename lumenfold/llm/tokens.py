@@ -43,7 +43,8 @@ def count_tokens(texts, path: str) -> list[int]:
 
 
 def token_sizes(documents: DataFrame, keep: tuple[str, ...] = (), path: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(doc_id, *keep, tokens): null and empty texts have 0 tokens."""
+    """(doc_id, *keep, tokens): null and empty texts have 0 tokens, documents
+    without an id take no part."""
     schema = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep))
 
     def run(batches):
@@ -52,4 +53,4 @@ def token_sizes(documents: DataFrame, keep: tuple[str, ...] = (), path: str = DE
             out["tokens"] = pd.Series(count_tokens(pdf["text"].tolist(), path), dtype="int64", index=out.index)
             yield out
 
-    return documents.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"{schema}, tokens long")
+    return documents.filter("doc_id is not null").select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"{schema}, tokens long")
