@@ -149,6 +149,27 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_duplicates.near_duplicates(spark.createDataFrame([], "id string, search_text string")).links.count() == 0
 
 
+def test_large_families_with_edits_spread_out(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9))) for _ in range(3000)]
+    rows = []
+    for k, n in enumerate((25, 150, 400)):
+        base = [rng.choice(words) for _ in range(n)]
+        rows += [(f"{k}-copy{i}", " ".join([*base, f"posted {i}"])) for i in range(30)]
+        for i in range(8):
+            step, shift = rng.randrange(6, 9), rng.randrange(4)
+            rows.append((f"{k}-word{i}", " ".join(rng.choice(words) if j % step == shift else w for j, w in enumerate(base))))
+            step = rng.randrange(4, 8)
+            rows.append((f"{k}-s{i}", " ".join(w + "s" if j % step == shift else w for j, w in enumerate(base))))
+            rows.append((f"{k}-any{i}", " ".join(rng.choice(words) if rng.random() < 0.1 else w for w in base)))
+    got = {tuple(r) for r in near_duplicates.found_pairs(near_duplicates.near_duplicates(spark.createDataFrame(rows, "id string, search_text string"))).collect()}
+    sets = {i: grams(t) for i, t in rows}
+    ids = sorted(sets)
+    want = {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    print(len(got), len(want))
+    assert got <= want and len(got) >= 0.999 * len(want) and len(want) > 1500
+
+
 def test_divide_skip_and_components(spark):
     rng = random.Random(5)
     for _ in range(50):
