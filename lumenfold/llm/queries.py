@@ -73,13 +73,14 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Summaries and bodies that stop before their text does."""
-    return truncated_values(table(spark, d, "items")).select(F.col("id").alias("item_id"), "field_name")
+    return truncated_values(table(spark, d, "items"), table(spark, d, "item_sources")).select(F.col("id").alias("item_id"), "field_name")
 
 
 def p7_sources(spark: SparkSession, d: str) -> DataFrame:
     """How often each source truncates each field."""
     items = table(spark, d, "items")
-    return source_rates(items, table(spark, d, "item_sources"), truncated_values(items))
+    links = table(spark, d, "item_sources")
+    return source_rates(items, links, truncated_values(items, links))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 A stack automaton reads the end of each value: open tags, quotes and brackets,
 a tag, entity or multi-byte character broken off, and whether the last
-sentence has its terminator.  Values without one whose shape many complete
-values share (captions, credits, links) are the baseline and count as whole.
+sentence has its terminator.  Values without one are held against the baseline
+of their source: a shape that makes up a share of the source's values (captions,
+credits, links) counts as whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from functools import lru_cache
@@ -17,10 +19,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .encodings import SINGLE, byte_table
 
 WHOLE, CUT, UNSURE = 0, 1, 2
+#: Distinct texts of a shape, and its share of a source's values, from which it is a
+#: baseline; the whole table weighs in like so many values of the source.
 SHAPE_COUNT = 4
+SHAPE_SHARE = 0.001
+TABLE_VALUES = 1000
 
 _MARK = re.compile(r"\s*[\[(（]?\s*(?:…|\.\.\.|・・・)+\s*[\])）]?\s*$")
 _END = re.compile(r"[.!?。．！？](?:[»”\"’'）)\]」』】›“*_]|\s(?=[»”\"]))*\s*$")
@@ -108,12 +115,18 @@ def terminated(text: str) -> bool:
     return bool(_END.search(text)) or text.rstrip().endswith(garbled_ends())
 
 
+#: Scripts without word gaps, in which a run of letters is no name.
+_GAPLESS = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff"
+_NAME_WORD = rf"[^\W\d_a-z{_GAPLESS}][^\W{_GAPLESS}]*(?:[\u3400-\u9fff]{{1,4}}(?!\w))?"
+_NAME = re.compile(rf"\b{_NAME_WORD}(?:[ ・]{_NAME_WORD})*")
+
+
 def shape(text: str) -> str:
     """Names, numbers and katakana words masked: the form of a caption."""
     s = re.sub(r"[ァ-ヺー]+", "K", text)
     s = re.sub(r"\d+", "0", s)
-    s = re.sub(r"\b[^\W\d_a-z]\w*(?:[ ・][^\W\d_a-z]\w*)*", "N", s)
-    return re.sub(r"N(?:(?: [^\W\d_]{1,3})? N)+", "N", s)[:200]
+    s = _NAME.sub("N", s)
+    return re.sub(r"N(?:(?: [^\W\d_]{1,3})? N)+", "N", s)
 
 
 def summary_verdict(summary: str, body: str | None) -> tuple[int, str]:
@@ -172,6 +185,13 @@ def html_verdict(value: str) -> tuple[int, str]:
     return UNSURE, "terminator"
 
 
+def _form(text: str, verdict: int) -> tuple[str | None, bytes | None]:
+    """Shape and digest of an unsure value."""
+    if verdict != UNSURE:
+        return None, None
+    return shape(text), hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
+
+
 def _judged(batches):
     for pdf in batches:
         out = []
@@ -182,36 +202,54 @@ def _judged(batches):
                     text = " ".join(st[len(t) if t and st.startswith(t) else 0 :].split())
                 v, why = summary_verdict(s, text)
                 if v != WHOLE:
-                    out.append((i, 0, v, why, shape(s.strip()) if v == UNSURE else None))
+                    out.append((i, 0, v, why, *_form(s.strip(), v)))
             if h:
                 v, why = html_verdict(h)
                 if v != WHOLE:
-                    out.append((i, 1, v, why, shape(Tail(h.rstrip()).text) if v == UNSURE else None))
-        yield pd.DataFrame(out, columns=["id", "field", "verdict", "reason", "shape"]).astype({"field": np.int32, "verdict": np.int32})
+                    out.append((i, 1, v, why, *_form(Tail(h.rstrip()).text, v)))
+        yield pd.DataFrame(out, columns=["id", "field", "verdict", "reason", "shape", "digest"]).astype({"field": np.int32, "verdict": np.int32})
 
 
 def truncated_values(
-    rows: DataFrame, id_col: str = "id", summary_col: str = "summary", html_col: str = "content_html",
+    rows: DataFrame, links: DataFrame | None = None, id_col: str = "id", summary_col: str = "summary", html_col: str = "content_html",
     title_col: str = "title", text_col: str = "search_text", shape_count: int = SHAPE_COUNT,
 ) -> DataFrame:
     """(id, field_name, reason) of the values that stop before their text does.
 
     Defined cases: null, empty and blank values are never reported; a value
     that ends with a sentence end outside open markup is whole; one without
-    sentence ends is whole if at least shape_count such values of the table
-    have its shape (the baseline of captions, credits and links); repeated ids
-    give repeated rows; long values are read whole, line by line; other columns
-    are ignored."""
+    sentence ends is whole if at least shape_count distinct texts have its shape
+    and, in one of its sources (links: item_id, source_id), other values of that
+    shape make up SHAPE_SHARE; items without a source form one source; repeated
+    ids give repeated rows; long values are read whole, line by line; other
+    columns are ignored."""
     src = rows.select(
         F.col(id_col).cast("string").alias("id"), F.col(summary_col).alias("summary"), F.col(html_col).alias("html"),
         F.col(title_col).alias("title"), F.col(text_col).alias("body"),
     )
     src = src.filter(F.col("id").isNotNull() & (F.col("summary").isNotNull() | F.col("html").isNotNull()))
-    judged = src.mapInPandas(_judged, "id string, field int, verdict int, reason string, shape string")
+    judged = cut(src.mapInPandas(_judged, "id string, field int, verdict int, reason string, shape string, digest binary"))
     unsure = judged.filter(F.col("verdict") == UNSURE)
-    usual = unsure.groupBy("field", "shape").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= shape_count).select("field", "shape")
+    filled = src.select("id", F.explode(F.array_compact(F.array(F.when(F.trim("summary") != "", 0), F.when(F.trim("html") != "", 1)))).alias("field"))
+    if links is None:
+        placed, filled = (x.withColumn("source", F.lit("")) for x in (unsure, filled))
+    else:
+        pairs = links.select(F.col("item_id").cast("string").alias("id"), F.col("source_id").cast("string").alias("source")).filter("id is not null and source is not null").distinct()
+        placed, filled = (x.join(pairs, "id", "left").fillna("", ["source"]) for x in (unsure, filled))
+    # grouped by text first, which spreads a source of any size
+    by_shape = ["source", "field", "shape"]
+    counts = placed.groupBy(*by_shape, "digest").agg(F.count(F.lit(1)).alias("n")).groupBy(*by_shape).agg(F.sum("n").alias("n"))
+    table = unsure.groupBy("field", "shape", "digest").agg(F.count(F.lit(1)).alias("n")).groupBy("field", "shape").agg(F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("texts"))
+    totals = cut(filled.groupBy("source", "field").agg(F.count(F.lit(1)).alias("values")))
+    all_values = totals.groupBy("field").agg(F.sum("values").alias("all_values"))
+    others = (F.col("n") - 1 + TABLE_VALUES * (F.col("all_n") - 1) / F.col("all_values")) / (F.col("values") - 1 + TABLE_VALUES)
+    usual = (
+        counts.join(table.filter(F.col("texts") >= shape_count), ["field", "shape"]).join(totals, ["source", "field"]).join(all_values, "field")
+        .filter(others >= SHAPE_SHARE).select(*by_shape)
+    )
+    whole = placed.join(usual, by_shape).select("id", "field", "digest").distinct()
     cut_rows = judged.filter(F.col("verdict") == CUT).select("id", "field", "reason").unionByName(
-        unsure.join(usual, ["field", "shape"], "left_anti").select("id", "field", "reason")
+        unsure.join(whole, ["id", "field", "digest"], "left_anti").select("id", "field", "reason")
     )
     name = F.when(F.col("field") == 0, summary_col).otherwise(html_col)
     return cut_rows.select("id", name.alias("field_name"), "reason")

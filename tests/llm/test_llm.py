@@ -239,6 +239,17 @@ def test_truncated_values(spark):
     assert truncation.truncated_values(df.limit(0)).count() == 0
 
 
+def test_baseline_of_a_source(spark):
+    rows = [(f"v{i}", f"Via Gafahix{i} GmbH") for i in range(40)] + [(f"r{i}", "The thermal galaxy sequenced the enzyme near") for i in range(6)]
+    rows += [(f"j{i}", f"静かなデバッガを{i}回ほど比べたパボグ・シギタは、不具合{c}") for i, c in enumerate("修集取調見売")]
+    rows += [(f"s{i}", f"Nobody at Sadaneth{i} defended the sprint until P") for i in range(6)] + [(f"w{i}", f"A whole sentence {i}.") for i in range(9000)]
+    links = [(i, "small" if i[0] in "vrj" else f"other{k % 6}") for k, (i, _) in enumerate(rows)]
+    df = spark.createDataFrame([(i, s, None, "t", "t") for i, s in rows], "id string, summary string, content_html string, title string, search_text string")
+    got = {r["id"] for r in truncation.truncated_values(df, spark.createDataFrame(links, "item_id string, source_id string")).collect()}
+    assert got == {f"{k}{i}" for k in "rjs" for i in range(6)}
+    assert truncation.shape("データベースと不具合修正") != "N" and truncation.shape("Via デユアエ新聞") == "N" and len(truncation.shape("ab " * 200)) == 600
+
+
 # ---- packing and mixing ----------------------------------------------------------------
 
 def test_pack_is_valid_and_tight():
