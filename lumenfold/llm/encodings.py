@@ -2,7 +2,7 @@
 
 A damaged span is turned back into the bytes it was read from, a lattice whose
 edges are either a kept character or a character of the encoding it may have
-been written in (lost bytes are wildcards).  A Viterbi search under the
+been written in; a lost byte is a wildcard for any that makes a corpus character.  A Viterbi search under the
 corpus' character frequencies picks the cheapest reading; letters lost to
 U+FFFD are then filled in by the most frequent corpus word that fits.
 """
@@ -33,6 +33,8 @@ ROUNDS = 3
 MIN_STREAK = 4
 #: Gain (nats) from which a reading that leaves nothing odd is taken at once.
 CLEAR_GAIN = 8.0
+#: Share of the corpus characters that fit a partly lost sequence.
+DECISIVE = 0.95
 
 
 @lru_cache(maxsize=None)
@@ -120,9 +122,31 @@ class CharModel:
         self.cost = {chr(c): math.log(total / n) for c, n in counts.items() if n > 0}
         self.unseen = math.log(total) + UNSEEN_EXTRA
 
+        self._wild: dict[str, dict] = {}
+
     def of(self, c: str) -> float:
         return self.cost.get(c, self.unseen)
 
+    def wild(self, written: str, seq: bytes, lost: tuple[int, ...]) -> tuple[float, str] | None:
+        """(cost, character) of a sequence whose bytes `lost` may be any: the cost
+        of all corpus characters that fit, and the one that DECISIVE of them are,
+        else U+FFFD for fill_lost to fill."""
+        if written not in self._wild:
+            fits: dict[tuple, list] = {}
+            for c, cost in self.cost.items():
+                try:
+                    b = c.encode(written)
+                except UnicodeEncodeError:
+                    continue
+                if len(b) > 1 and _decoded(b, written) == c:
+                    for holes in [(k,) for k in range(len(b))] + [(1, 2)] * (len(b) == 3):
+                        fit = fits.setdefault((holes, len(b), bytes(x for k, x in enumerate(b) if k not in holes)), [0.0, cost, c])
+                        fit[0] += math.exp(-cost)
+                        if cost < fit[1]:
+                            fit[1:] = [cost, c]
+            self._wild[written] = {k: (-math.log(p), c if math.exp(-cost) >= DECISIVE * p else LOST) for k, (p, cost, c) in fits.items()}
+        return self._wild[written].get((lost, len(seq), bytes(x for k, x in enumerate(seq) if k not in lost)))
+
 
 @lru_cache(maxsize=200_000)
 def _decoded(seq: bytes, codec: str) -> str | None:
@@ -156,11 +180,12 @@ def viterbi(text: str, read: str, written: str, model: CharModel) -> tuple[float
     parts = _to_bytes(text, read)
     data = bytearray()
     starts: dict[int, int] = {}
-    solid = []
+    solid, wild = [], []
     for k, (c, b) in enumerate(parts):
         starts[len(data)] = k
         b = b if b is not None else b"\x00"
         solid.extend([parts[k][1] is not None] * len(b))
+        wild.extend([c == LOST] * len(b))
         data += b
     n = len(data)
     widths = {"utf-8": (2, 3, 4), "cp932": (2, 1), "euc_jp": (2, 3)}[written]
@@ -184,11 +209,25 @@ def viterbi(text: str, read: str, written: str, model: CharModel) -> tuple[float
                 to = state if c < "\x80" else 0
                 if cost < best[j][to]:
                     best[j][to], back[j][to] = cost, (i, state, c, 0)
-            if data_bytes[i] < 0x80 or not solid[i]:
+            elif at + model.unseen < best[i + 1][0]:
+                # the span ends inside a wrong character, whose other bytes are lost
+                best[i + 1][0], back[i + 1][0] = at + model.unseen, (i, state, LOST, 0)
+            if solid[i] and data_bytes[i] < 0x80 or not solid[i] and not wild[i]:
                 continue
             for w in widths:
                 j = i + w
-                if j > n or not all(solid[i:j]):
+                if j > n:
+                    continue
+                if not all(solid[i:j]):
+                    # a lost byte may be any; two, or one in a double-byte encoding, inside a span only
+                    holes = tuple(x - i for x in range(i, j) if not solid[x])
+                    if not all(wild[i + x] for x in holes) or max(data_bytes[i:j]) < 0x80 or not state and (len(holes) > 1 or written != "utf-8"):
+                        continue
+                    fit = model.wild(written, data_bytes[i:j], holes)
+                    if fit is not None:
+                        cost = at + fit[0] + (0.0 if state else SPAN_COST)
+                        if cost < best[j][1]:
+                            best[j][1], back[j][1] = cost, (i, state, fit[1], 1)
                     continue
                 d = _decoded(data_bytes[i:j], written)
                 if d is None:

@@ -112,6 +112,21 @@ def test_round_trips():
             assert encodings.restore(bad, m)[0] == t, written
 
 
+def test_lost_bytes_are_wildcards():
+    m = _model()
+    for t in TEXTS[2:]:
+        for read in ("cp1252", "cp932"):
+            bad = t.encode("utf-8").decode(read, "replace") if read == "cp1252" else None
+            if read == "cp932":
+                seen = t.encode("utf-8").decode("cp932", "surrogateescape")
+                bad = "".join(c if not 0xDC80 <= ord(c) <= 0xDCFF else encodings.LOST for c in seen)
+            if encodings.LOST not in bad:
+                continue
+            got = encodings.restore(bad, m)[0]
+            assert len(got) == len(t) and all(a in (b, encodings.LOST) for a, b in zip(got, t)), (read, got)
+            assert sum(a == b for a, b in zip(got, t)) >= 0.6 * len(t)
+
+
 def test_garbled_values(spark):
     rows = [("a", TEXTS[0], None), ("b", "dÃ©jÃ ", TEXTS[1]), ("c", None, "fr�here K�che"), ("d", "", "frühere Köche"), (None, "�", None), ("e", "SÃO É” “", None), ("f", "x" * 50000, None)]
     df = clashing(spark.createDataFrame(rows * 20, "id string, title string, content_html string")).dropDuplicates(["id"])
