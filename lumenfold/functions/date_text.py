@@ -2,9 +2,10 @@
 
 `readings(text, fetched, order, zone)` returns a list of
 (epoch_microseconds, format_name, prior_cost).  Several readings arise from
-numeric day/month order, two-digit years and local times that a daylight-saving
-change repeats.  A reading that breaks a rule the source declares (its
-`date_order`) is kept with the cost RULE_BREAK, so that it can be told apart.
+numeric day/month order, two-digit years, local times that a daylight-saving
+change repeats or skips, and zone abbreviations that several zones share.  A
+reading that breaks a rule the source declares (its `date_order`) costs
+RULE_BREAK, more than the neighbours of one record can outweigh.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from functools import lru_cache
 from zoneinfo import ZoneInfo
 
 UTC = timezone.utc
-RULE_BREAK = 1000.0
-UNLIKELY = 20.0
+RULE_BREAK = 20.0
+UNLIKELY = 5.0
+OTHER_ORDER = 0.5
+OTHER_ZONE = 1.0
 FOLD_LATER = 0.1
 
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
@@ -47,9 +50,11 @@ ABBREVIATIONS = {
     "UTC": 0, "UT": 0, "GMT": 0, "Z": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "EET": 120,
     "EEST": 180, "MSK": 180, "IST": 330, "JST": 540, "KST": 540, "AEST": 600, "AEDT": 660, "ACST": 570,
     "AWST": 480, "NZST": 720, "NZDT": 780, "HKT": 480, "SGT": 480, "EST": -300, "EDT": -240, "CST": -360,
-    "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
+    "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600, "AST": -240,
 }
 UNSHARED = {"UTC", "UT", "GMT", "Z"}
+# Further offsets in minutes of abbreviations that several zones share.
+SHARED = {"CST": (480, -300), "IST": (120, 60), "BST": (360,), "AST": (180,)}
 
 ERAS = {"令和": 2018, "平成": 1988, "昭和": 1925}
 UNIT_SECONDS = {
@@ -98,16 +103,19 @@ def zone_of(name: str | None):
 
 
 @lru_cache(maxsize=16384)
-def _abbreviation_minutes(abbr: str, zone_name: str | None, year: int) -> int | None:
-    """A shared abbreviation means what the source's own zone calls so."""
+def _abbreviation_minutes(abbr: str, zone_name: str | None, year: int) -> tuple[int, ...]:
+    """Offsets an abbreviation may stand for, the likeliest first: what the
+    source's own zone calls so, else all that share it."""
     if abbr not in UNSHARED:
         zone = zone_of(zone_name)
         if zone is not None:
             for month in (1, 7):
                 at = datetime(year, month, 1, tzinfo=zone)
                 if at.tzname() == abbr:
-                    return int(at.utcoffset().total_seconds() // 60)
-    return ABBREVIATIONS.get(abbr)
+                    return (int(at.utcoffset().total_seconds() // 60),)
+    if abbr not in ABBREVIATIONS:
+        return ()
+    return (ABBREVIATIONS[abbr], *SHARED.get(abbr, ()))
 
 
 def _micros(at: datetime) -> int:
@@ -116,12 +124,10 @@ def _micros(at: datetime) -> int:
 
 
 def _local_instants(naive: datetime, zone) -> list[tuple[int, float]]:
-    """Instants of a wall-clock time: two where the clock was set back."""
+    """Instants of a wall-clock time: two where the clock was set back or on."""
     first = _micros(naive.replace(tzinfo=zone))
     second = _micros(naive.replace(tzinfo=zone, fold=1))
-    if first < second:
-        return [(first, 0.0), (second, FOLD_LATER)]
-    return [(first, 0.0)]
+    return [(first, 0.0)] if first == second else [(first, 0.0), (second, FOLD_LATER)]
 
 
 def _year(text: str) -> int:
@@ -152,9 +158,9 @@ def _zone_instants(rest: str, naive: datetime, zone_name: str | None):
         named = zone_of(rest)
         return None if named is None else _local_instants(naive, named)
     if rest.isalpha() and rest.isascii():
-        minutes = _abbreviation_minutes(rest.upper(), zone_name, naive.year)
-        if minutes is not None:
-            return [(_micros(naive.replace(tzinfo=UTC)) - minutes * 60_000_000, 0.0)]
+        offsets = _abbreviation_minutes(rest.upper(), zone_name, naive.year)
+        if offsets:
+            return [(_micros(naive.replace(tzinfo=UTC)) - x * 60_000_000, OTHER_ZONE * (i > 0)) for i, x in enumerate(offsets)]
     return None
 
 
@@ -174,19 +180,19 @@ def _relative(s: str, fetched_us: int):
     return None
 
 
-def _calendar(kind: str, m: re.Match, order: str):
+def _calendar(kind: str, m: re.Match, order: str | None):
     """(year, month, day, format, cost) readings of the matched date part."""
     if kind == "numeric":
         a, b, y = int(m["a"]), int(m["b"]), m["y"]
-        own = order if order in ("dmy", "mdy") else "dmy"
+        own, other = (order, RULE_BREAK) if order in ("dmy", "mdy") else ("dmy", OTHER_ORDER)
         out = []
         for o in ("dmy", "mdy"):
             d, mo = (a, b) if o == "dmy" else (b, a)
             if a == b and o != own:
                 continue
-            out.append((_year(y), mo, d, f"numeric_{o}", 0.0 if o == own else RULE_BREAK))
+            out.append((_year(y), mo, d, f"numeric_{o}", 0.0 if o == own else other))
         if len(y) == 2:
-            out.append((_year(m["a"]) if len(m["a"]) == 2 else 0, b, int(y), "numeric_ymd2", RULE_BREAK + UNLIKELY))
+            out.append((_year(m["a"]) if len(m["a"]) == 2 else 0, b, int(y), "numeric_ymd2", other + UNLIKELY))
         return out
     if kind == "era":
         y = ERAS[m["era"]] + (1 if m["ey"] == "元" else int(m["ey"]))
@@ -207,7 +213,7 @@ def readings(text: str | None, fetched_us: int | None, order: str | None, zone_n
     if text is None:
         return []
     s = unicodedata.normalize("NFKC", text).strip()
-    if not s or len(s) > 80:
+    if not s:
         return []
     found: list[tuple[int, str, float]] = []
     if fetched_us is not None:
@@ -246,7 +252,7 @@ def readings(text: str | None, fetched_us: int | None, order: str | None, zone_n
                     hour = hour % 12 + (12 if half[0] in "pP" else 0)
                 rest = rest[t.end():]
             leap = second == 60
-            for y, mo, d, name, cost in _calendar(kind, m, order or "dmy"):
+            for y, mo, d, name, cost in _calendar(kind, m, order):
                 try:
                     naive = datetime(y, mo, d, hour if hour < 24 or minute or second else 0, minute, 59 if leap else second, micro)
                     if hour == 24:

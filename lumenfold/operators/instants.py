@@ -2,13 +2,20 @@
 
 Every text yields an array of readings (functions/date_text.py).  A Viterbi
 pass over each source's records, in fetch order, chooses one reading per
-record; it pays for readings the source's rules make unlikely, for changing
-the format between neighbours and for stepping back in time.
+record; it pays for readings that are unlikely by themselves or that the
+source's declared order speaks against, for changing the format between
+neighbours and for stepping back in time, the more the further.
+
+The chain of a source is never cut.  A record with one reading fixes the path,
+so what lies between two of them is settled on its own: windows of fetch time
+are decoded in parallel, and only the records before the first and after the
+last such record of a window are chained across windows in a second pass.
 """
 
 from __future__ import annotations
 
 import json
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,10 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.date_text import RULE_BREAK, readings
+from ..session import cut
 
 SWITCH_COST = 1.0
-BACKWARD_COST = 1.0
-BACKWARD_SLACK_US = 2 * 86_400_000_000
+BACKWARD_COST = 0.5
+HOUR_US = 3_600_000_000
 TRACE_EVERY = 256
 DEFAULT_WINDOW_DAYS = 7
 
@@ -39,8 +47,8 @@ class ChainDecoder:
     @staticmethod
     def _step(a, b) -> float:
         cost = SWITCH_COST if a[1] != b[1] else 0.0
-        if b[0] < a[0] - BACKWARD_SLACK_US:
-            cost += BACKWARD_COST
+        if b[0] < a[0]:
+            cost += BACKWARD_COST * math.log1p((a[0] - b[0]) / HOUR_US)
         return cost
 
     def push(self, tag, options) -> list:
@@ -102,7 +110,8 @@ class ChainDecoder:
         return [x for x in reversed(out) if x[0] is not None]
 
 
-def _config(text) -> tuple[str, str | None]:
+def _config(text) -> tuple[str | None, str | None]:
+    """(declared day-month order or None, zone or None)."""
     try:
         c = json.loads(text) if text else {}
     except ValueError:
@@ -110,61 +119,105 @@ def _config(text) -> tuple[str, str | None]:
     if not isinstance(c, dict):
         c = {}
     order, tz = c.get("date_order"), c.get("tz")
-    return (order if order in ("dmy", "mdy") else "dmy", tz if isinstance(tz, str) else None)
+    return (order if order in ("dmy", "mdy") else None, tz if isinstance(tz, str) else None)
 
 
-def _decode(batches):
-    """Rows arrive sorted by (source, window, fetch, key); see normalise_instants."""
-    decoder, current, configs = ChainDecoder(), None, {}
-    waiting: dict = {}
+SETTLED, OPEN, ANCHOR = 0, 1, 2
+_OUT = ["key", "kept", "source_id", "win", "seq", "role", "instants_us", "formats", "costs", "choice"]
 
-    def rows(released):
-        for tag, choice in released:
-            yield waiting.pop(tag), choice
 
-    def frame(done):
-        out = []
-        for (row, options), choice in done:
-            us, fmt, cost = options[choice]
-            tied = [o[0] for o in options if o[2] < RULE_BREAK]
-            out.append((*row, [o[0] for o in options], [o[1] for o in options], us, fmt, cost < RULE_BREAK, tied))
-        return out
+def _as_frame(rows):
+    out = pd.DataFrame(rows, columns=_OUT)
+    out["choice"] = out["choice"].astype("Int64")
+    return out.astype({"win": "int64", "seq": "int64", "role": "int32"})
+
+
+class _Window:
+    """Decodes the records of one (source, window) as far as they are settled."""
+
+    def __init__(self, source, win):
+        self.at = (source, win)
+        self.decoder: ChainDecoder | None = None  # starts at the first record with one reading
+        self.waiting: dict = {}
+        self.seq = 0
+        self.last = None
+
+    def row(self, key, kept, seq, role, options, choice):
+        return (key, kept, *self.at, seq, role, [o[0] for o in options], [o[1] for o in options], [float(o[2]) for o in options], choice)
+
+    def anchor(self, seq, option):
+        return self.row(None, None, seq, ANCHOR, [option], 0)
+
+    def push(self, key, kept, options):
+        self.seq += 1
+        if not options:
+            yield self.row(key, kept, self.seq, SETTLED, [], None)
+            return
+        if self.decoder is None:
+            if len(options) > 1:
+                yield self.row(key, kept, self.seq, OPEN, options, None)
+                return
+            self.decoder = ChainDecoder()
+            yield self.anchor(self.seq, options[0])
+        self.waiting[self.seq] = (key, kept, options)
+        for seq, choice in self.decoder.push(self.seq, options):
+            key, kept, options = self.waiting.pop(seq)
+            self.last = (seq, options[choice])
+            yield self.row(key, kept, seq, SETTLED, options, choice)
 
-    serial = 0
+    def close(self):
+        if self.last is not None:
+            yield self.anchor(*self.last)
+        for seq, (key, kept, options) in self.waiting.items():
+            yield self.row(key, kept, seq, OPEN, options, None)
+
+
+def _decode(batches):
+    """Rows arrive sorted by (source, window, fetch, key); see normalise_instants."""
+    window, configs = None, {}
     for pdf in batches:
         done: list = []
-        plain: list = []
         for src, win, fetched, key, text, config, kept in zip(
             pdf["source_id"], pdf["win"], pdf["fetched_us"], pdf["key"], pdf["text"], pdf["config"], pdf["kept"]
         ):
-            if (src, win) != current:
-                done.extend(rows(decoder.finish()))
-                current = (src, win)
+            if window is None or window.at != (src, win):
+                if window is not None:
+                    done.extend(window.close())
+                window = _Window(src, win)
             if config not in configs:
                 if len(configs) > 5000:
                     configs.clear()
                 configs[config] = _config(config)
-            order, zone = configs[config]
-            options = readings(text, None if pd.isna(fetched) else int(fetched), order, zone)
-            row = (key, kept)
-            if not options:
-                plain.append((*row, [], [], None, None, False, []))
-                continue
-            serial += 1
-            waiting[serial] = (row, options)
-            done.extend(rows(decoder.push(serial, options)))
-        yield _as_frame(frame(done) + plain)
-    yield _as_frame(frame(list(rows(decoder.finish()))))
+            done.extend(window.push(key, kept, readings(text, None if pd.isna(fetched) else int(fetched), *configs[config])))
+        yield _as_frame(done)
+    if window is not None:
+        yield _as_frame(list(window.close()))
 
 
-_OUT = ["key", "kept", "instants_us", "formats", "instant_us", "format", "by_rule", "equal_us"]
+def _stitch(batches):
+    """Open records and anchors, sorted by (source, window, sequence)."""
+    decoder, current, waiting, serial = ChainDecoder(), None, {}, 0
 
+    def rows(released):
+        for tag, choice in released:
+            row = waiting.pop(tag)
+            yield (*row[:5], SETTLED, *row[6:9], choice)
 
-def _as_frame(rows):
-    out = pd.DataFrame(rows, columns=_OUT)
-    out["instant_us"] = out["instant_us"].astype("Int64")
-    out["by_rule"] = out["by_rule"].astype(bool)
-    return out
+    for pdf in batches:
+        done: list = []
+        for row in pdf[_OUT].itertuples(index=False, name=None):
+            if row[2] != current:
+                done.extend(rows(decoder.finish()))
+                current = row[2]
+            options = list(zip((int(x) for x in row[6]), row[7], row[8]))
+            tag = None
+            if row[5] == OPEN:
+                serial += 1
+                tag = serial
+                waiting[tag] = row
+            done.extend(rows(decoder.push(tag, options)))
+        yield _as_frame(done)
+    yield _as_frame(list(rows(decoder.finish())))
 
 
 def normalise_instants(
@@ -177,22 +230,23 @@ def normalise_instants(
     keep: str | None = None,
     window_days: int = DEFAULT_WINDOW_DAYS,
 ) -> DataFrame:
-    """One row per record: all readings, the chosen one, whether rules allow it.
+    """One row per record: all readings and the chosen one.
 
     Result columns: `key`, `keep` (if named), instants array<timestamp>,
-    formats array<string>, instant timestamp, format string, by_rule boolean,
-    equal_instants array<timestamp> (the readings no rule excludes).
-
-    A chain is one source's records of `window_days` of fetch time, ordered by
-    (fetched, key).  Rows are range-free hashed by (source, window), sorted and
-    streamed, so that a source with a third of all rows is spread over its
-    windows and no group is held in memory.
-
-    Defined cases: null, empty, over-long (80 characters) and unreadable texts
-    give empty arrays and a null instant, never a dropped row; a null source or
-    config is read as day-month order in UTC; a null fetch time disables
-    relative texts and the upper bound; repeated keys give repeated rows; other
-    columns, whatever their names, are ignored."""
+    formats array<string>, instant timestamp, format string, by_rule boolean
+    (whether the chosen reading follows the source's declared order).
+
+    A chain is all of a source's records, ordered by (fetched, key).  Windows of
+    `window_days` of fetch time are decoded in parallel, so that a source with a
+    third of all rows is spread; `window_days` does not change the result.
+
+    Defined cases: null, empty and unreadable texts give empty arrays and a null
+    instant, never a dropped row; without a declared order both orders are
+    readings and the chain decides, day-month being the likelier; without a zone
+    a time is UTC; of two paths of one cost the one through earlier readings in
+    the arrays wins; a null source is a source of its own; a null fetch time
+    disables relative texts and the upper bound; repeated keys give repeated
+    rows; other columns, whatever their names, are ignored."""
     kept = F.col(keep) if keep else F.lit(None).cast("string")
     kept_type = records.schema[keep].dataType if keep else T.StringType()
     key_type = records.schema[key].dataType
@@ -212,23 +266,26 @@ def normalise_instants(
         [
             T.StructField("key", T.StringType()),
             T.StructField("kept", kept_type),
+            T.StructField("source_id", T.StringType()),
+            T.StructField("win", T.LongType()),
+            T.StructField("seq", T.LongType()),
+            T.StructField("role", T.IntegerType()),
             T.StructField("instants_us", T.ArrayType(T.LongType())),
             T.StructField("formats", T.ArrayType(T.StringType())),
-            T.StructField("instant_us", T.LongType()),
-            T.StructField("format", T.StringType()),
-            T.StructField("by_rule", T.BooleanType()),
-            T.StructField("equal_us", T.ArrayType(T.LongType())),
+            T.StructField("costs", T.ArrayType(T.DoubleType())),
+            T.StructField("choice", T.IntegerType()),
         ]
     )
-    out = rows.mapInPandas(_decode, schema)
-    stamps = lambda c: F.transform(c, lambda x: F.timestamp_micros(x))
+    decoded = cut(rows.mapInPandas(_decode, schema))
+    edges = decoded.filter(F.col("role") != SETTLED).repartition("source_id").sortWithinPartitions("source_id", "win", "seq")
+    out = decoded.filter(F.col("role") == SETTLED).unionByName(edges.mapInPandas(_stitch, schema))
+    chosen = lambda c: F.get(F.col(c), F.col("choice"))
     columns = [F.col("key").cast(key_type).alias(key)] + ([F.col("kept").alias(keep)] if keep else [])
     return out.select(
         *columns,
-        stamps("instants_us").alias("instants"),
+        F.transform("instants_us", lambda x: F.timestamp_micros(x)).alias("instants"),
         "formats",
-        F.timestamp_micros("instant_us").alias("instant"),
-        "format",
-        "by_rule",
-        stamps("equal_us").alias("equal_instants"),
+        F.timestamp_micros(chosen("instants_us")).alias("instant"),
+        chosen("formats").alias("format"),
+        F.coalesce(chosen("costs") < RULE_BREAK, F.lit(False)).alias("by_rule"),
     )

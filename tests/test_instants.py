@@ -105,6 +105,46 @@ def test_normalise_edges(spark):
     assert normalise_instants(df.limit(0)).count() == 0
 
 
+BERLIN = '{"date_order": "dmy", "tz": "Europe/Berlin"}'
+
+
+def chain(spark, rows, window_days=7):
+    """Chosen instants of (source, text, minutes after NOW, config) rows."""
+    df = spark.createDataFrame(
+        [(i, s, t, NOW + dt.timedelta(minutes=m), c) for i, (s, t, m, c) in enumerate(rows)],
+        "raw_id long, source_id string, published_at_raw string, fetched_at timestamp, config string")
+    got = {r["raw_id"]: r for r in normalise_instants(df, window_days=window_days).collect()}
+    return [got[i]["instant"] for i in range(len(rows))]
+
+
+def test_neighbours_decide_the_repeated_hour(spark):
+    alone = chain(spark, [("s", "2025-10-26 02:10", 0, BERLIN)])
+    assert alone == [dt.datetime(2025, 10, 26, 0, 10)]
+    after = chain(spark, [("s", "2025-10-26T00:50:00Z", 0, BERLIN), ("s", "2025-10-26 02:10", 1, BERLIN), ("t", "2025-10-26 02:10", 2, BERLIN)])
+    assert after[1] == dt.datetime(2025, 10, 26, 1, 10) and after[2] == dt.datetime(2025, 10, 26, 0, 10)
+
+
+def test_neighbours_decide_an_undeclared_order_and_a_shared_abbreviation(spark):
+    got = chain(spark, [("s", "03/25/2025", 0, "{}"), ("s", "03/04/2025", 1, "{}"), ("s", "03/26/2025", 2, "{}"), ("u", "03/04/2025", 3, "{}"), ("v", "03/04/2025", 4, '{"date_order": "dmy"}')])
+    assert [x.month for x in got] == [3, 3, 3, 4, 4]
+    rows = [("s", f"2025-03-0{k}T06:00:00Z", k, "{}") for k in range(1, 4)]
+    got = chain(spark, [*rows, ("s", "2025-03-03 14:10 CST", 9, "{}"), ("s", "2025-03-03T06:20:00Z", 10, "{}"), ("u", "2025-03-03 14:10 CST", 9, "{}")])
+    assert got[3] == dt.datetime(2025, 3, 3, 6, 10) and got[5] == dt.datetime(2025, 3, 3, 20, 10)
+
+
+def test_windows_do_not_cut_the_chain(spark):
+    import random
+
+    rng = random.Random(6)
+    texts = ["03/04/2025", "05/04/2025", "04/05/2025 10:00", "03/25/2025", "2025-04-04", "2025-10-26 02:30", "junk"]
+    rows = [(rng.choice("st"), rng.choice(texts), 1440 * rng.randrange(40), rng.choice(["{}", '{"tz": "Europe/Berlin"}'])) for _ in range(150)]
+    assert chain(spark, rows, 1) == chain(spark, rows, 7) == chain(spark, rows, 1000)
+
+
+def test_long_text_with_a_zone_comment():
+    assert first("2025-03-04 10:00 " + " " * 200 + "+01:00") == "2025-03-04 09:00:00"
+
+
 def test_since():
     from lumenfold.functions.date_text import parse_since
 
