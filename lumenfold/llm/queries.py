@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, table
 from .encodings import fill_lost, garbled_values
-from .lookalikes import canonical_texts, look_alike_pairs
+from .lookalikes import canonical_texts, look_alike_pairs, look_classes
 from .mixing import mix_report, mix_sources
 from .near_duplicates import found_pairs, groups, near_duplicates
 from .packing import fill_containers, fill_report
@@ -50,7 +50,13 @@ def p2_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Items whose titles or search texts look the same but differ."""
-    return look_alike_pairs(canonical_texts(table(spark, d, "items")))
+    return look_alike_pairs(cut(look_classes(cut(canonical_texts(table(spark, d, "items"))))))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The members of every look that different texts share."""
+    classes = look_classes(cut(canonical_texts(table(spark, d, "items"))))
+    return classes.select(F.col("id").alias("item_id"), F.col("field").alias("field_name"), F.hex("canon").alias("look"), "rep", "look_rep", "copies", "texts")
 
 
 def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
@@ -135,6 +141,7 @@ QUERIES = {
     "p2_cleaned": p2_cleaned,
     "p3_found": p3_found,
     "p3_canonical": p3_canonical,
+    "p3_classes": p3_classes,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,

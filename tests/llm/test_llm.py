@@ -69,16 +69,43 @@ def test_look_alikes(spark):
     other = ["rafifoza café fjord 42 file", "Rafifoza cafe fjord 42 file", "Rafifoza café fjord ④² file", "Rafifoza café fjord 42 file!", "！", "!", "½", "1/2", "", None]
     rows = [(f"s{i}", t, None) for i, t in enumerate(same)] + [(f"o{i}", t, "x" * 20000) for i, t in enumerate(other)] + [("s0", same[0], None)]
     df = clashing(spark.createDataFrame(rows, "id string, title string, search_text string"))
-    got = {tuple(r) for r in lookalikes.look_alike_pairs(lookalikes.canonical_texts(df)).collect()}
+    got = {tuple(r) for r in lookalikes.look_alike_pairs(lookalikes.look_classes(lookalikes.canonical_texts(df))).collect()}
     assert got == {("s0", "s1"), ("s0", "s2"), ("s1", "s2")}
     assert lookalikes.canonical_texts(df.limit(0)).count() == 0
 
 
-def test_trie_prefers_the_vocabulary():
+def test_the_trie_decides_not_the_table(spark):
     t = lookalikes.LookTrie()
-    t.add("lion", 5)
-    t.add("Iron", 9)
-    assert t.find("Ӏion") == "lion" and t.find("Ӏron") == "Iron" and t.find("li​on") == "lion" and t.find("lyon") is None
+    for w, n in (("lion", 5), ("Iron", 9), ("МОСКВА", 3), ("kernel", 4), ("能力を", 2), ("cop", 1), ("сор", 9)):
+        t.add(w, n)
+    assert t.find("Ӏion") == "lion" and t.find("Ӏron") == "Iron" and t.find("li\u200bon") == "lion" and t.find("lyon") is None
+    # table forms: MOCKBA, кernel, 能カを
+    assert lookalikes.table_form("МOСКВА") == "MOCKBA" and t.find("МOСКВА") == "МОСКВА"
+    assert lookalikes.table_form("кernel") == "кernel" and t.find("кernel") == "kernel" and t.find("кегпеl") is None
+    assert lookalikes.table_form("能カを") == "能カを" and t.find("能力を") == "能力を"
+    assert t.find("сор") == "cop" and t.find("Lion") is None
+    rows = [("a", "МОСКВА сегодня", None), ("b", "МOСКВА сегодня", None), ("c", "кernel news", None), ("d", "kernel news", None), ("e", "能力を見る", None), ("f", "ＡＩ力", None)]
+    got = {r["id"]: r["text"] for r in lookalikes.canonical_texts(spark.createDataFrame(rows, "id string, title string, search_text string")).collect()}
+    assert got["b"] == "МОСКВА сегодня" and got["c"] == "kernel news" and got["a"] in (None, "МОСКВА сегодня") and got["e"] in (None, "能力を見る")
+    assert got["f"] == "AIカ"
+
+
+def test_quick_test_passes_every_text_the_table_changes():
+    odd, _ = lookalikes._odd()
+    for cp in range(0x80, 0x30000):
+        c = chr(cp)
+        if not 0xD800 <= cp < 0xE000 and lookalikes.table_form(c) != c:
+            assert odd.search(c), hex(cp)
+
+
+def test_large_looks_are_linked_whole(spark):
+    base = "a recurring title"
+    rows = [(f"p{i:03d}", base, None) for i in range(70)] + [(f"q{i:03d}", base.replace("a", "а", 1), None) for i in range(3)]
+    rows += [(f"z{i:03d}", "many looks" + "\u200b" * i, None) for i in range(80)]
+    classes = lookalikes.look_classes(lookalikes.canonical_texts(spark.createDataFrame(rows, "id string, title string, search_text string")))
+    pairs = {tuple(r) for r in lookalikes.look_alike_pairs(classes).collect()}
+    assert {p for p in pairs if p[0] < "z"} == {("p000", f"q{i:03d}") for i in range(3)}
+    assert len([p for p in pairs if p[0] >= "z"]) == 79 and classes.count() == 153
 
 
 # ---- encodings ------------------------------------------------------------------
