@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from .encodings import fill_lost, garbled_values
+from .encodings import garbled_values
 from .lookalikes import canonical_texts, look_alike_pairs, look_classes
 from .mixing import mix_report, mix_sources
 from .near_duplicates import found_pairs, groups, near_duplicates
@@ -71,10 +71,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_restored(spark: SparkSession, d: str) -> DataFrame:
-    """Those values as first written, with lost letters filled in where a corpus word fits."""
-    items = table(spark, d, "items")
-    values = items.select(F.col("title").alias("text")).unionByName(items.select(F.col("content_html").alias("text")))
-    return fill_lost(garbled_values(items), values).select(F.col("id").alias("item_id"), F.col("field").alias("field_name"), F.col("text").alias("restored"), "lost")
+    """Those values as first written, where enough is left."""
+    return garbled_values(table(spark, d, "items")).select(F.col("id").alias("item_id"), F.col("field").alias("field_name"), F.col("text").alias("restored"), "lost")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

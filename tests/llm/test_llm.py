@@ -113,12 +113,16 @@ def test_large_looks_are_linked_whole(spark):
 TEXTS = ["déjà-vu – € 40, Zoë’s", "Über die häufigen Köche", "優勝杯と大会をめぐるミノパスの626日", "データベースと不具合修正を調べた"]
 
 
-def _model():
-    counts = {}
-    for t in TEXTS * 50 + ["the quick brown fox jumps over the lazy dog 0123456789 "] * 200:
+def _model(extra=()):
+    counts, words = {}, np.zeros((2, encodings.CELLS), dtype=np.int64)
+    for t in TEXTS * 50 + ["the quick brown fox jumps over the lazy dog 0123456789 "] * 200 + list(extra):
         for c in t:
             counts[ord(c)] = counts.get(ord(c), 0) + 1
-    return encodings.CharModel(counts)
+        for w in encodings._RUNS.findall(t):
+            if not w.isascii():
+                for row, cell in enumerate(encodings.word_cells(w)):
+                    words[row, cell] += 1
+    return encodings.CorpusModel(counts, words)
 
 
 def test_round_trips():
@@ -154,13 +158,44 @@ def test_lost_bytes_are_wildcards():
             assert sum(a == b for a, b in zip(got, t)) >= 0.6 * len(t)
 
 
+def fill(text, extra=()):
+    return encodings.restore(text, _model(extra))[0]
+
+
+def test_lost_letters_are_filled_by_words_alone():
+    assert fill("die h�ufigen K�che") == "die häufigen Köche"
+    assert fill("�ber K�che, K�che.") == "Über Köche, Köche."
+    # two words that fit as well, too little left, and no word at all
+    assert fill("K�che", ["Küche"] * 60) == "K�che" and fill("K�che", ["Küche"] * 5000) == "Küche"
+    assert fill("x� �� K�chentuch") == "x� �� K�chentuch"
+    assert fill("大会の��結果と��") == "大会の��結果と��"
+    assert fill("x�y x�yz", ["xäy"] * 9) == "xäy x�yz"
+
+
+def test_words_decide_between_readings():
+    """By characters alone an a with a ring is the likelier one, by words not."""
+    m = _model(["å å å å å å å å"] * 400 + ["Käse"] * 30)
+    bad = "K�se"
+    assert m.of("å") < m.of("ä") and encodings.decode(bad, None, None, m)[1] == "Käse"
+
+
+def test_every_hint_passes_the_quick_test():
+    clean = ["déjà-vu – € 40, Zoë’s cœur, élève", "„Über die häufigen Köche“", "優勝杯と大会をめぐる機械学習の626日"]
+    assert not [t for t in clean if encodings.suspect(t)]
+    back = {b: c for c, b in encodings.byte_table("cp1252").items()}
+    for t in ("優勝杯", "大会記録", "機械学習"):
+        for written in ("utf-8", "cp932", "euc_jp"):
+            assert encodings.suspect("".join(back[b] if b > 127 else chr(b) for b in t.encode(written))), (t, written)
+        assert encodings.suspect(t.encode("utf-8").decode("cp932", "replace"))
+
+
 def test_garbled_values(spark):
-    rows = [("a", TEXTS[0], None), ("b", "dÃ©jÃ ", TEXTS[1]), ("c", None, "fr�here K�che"), ("d", "", "frühere Köche"), (None, "�", None), ("e", "SÃO É” “", None), ("f", "x" * 50000, None)]
-    df = clashing(spark.createDataFrame(rows * 20, "id string, title string, content_html string")).dropDuplicates(["id"])
+    rows = [("a", TEXTS[0], None), ("b", "dÃ©jÃ ", TEXTS[1]), ("c", None, "fr�here K�che"), ("d", "", "frühere Köche"), (None, "�", None), ("e", "SÃO É” “", None), ("f", "x" * 50000, None)]
+    rows += [(f"w{i}", "frühere Köche", None) for i in range(9)]
+    df = clashing(spark.createDataFrame(rows, "id string, title string, content_html string"))
     got = encodings.garbled_values(df)
     assert {(r["id"], r["field"]) for r in got.collect()} == {("b", "title"), ("c", "content_html")}
-    values = df.select(F.col("content_html").alias("text"))
-    assert {r["id"]: r["text"] for r in encodings.fill_lost(got, values).collect()}["c"] == "frühere Köche"
+    assert {r["id"]: r["text"] for r in got.collect()}["c"] == "frühere Köche"
     assert encodings.garbled_values(df.limit(0)).count() == 0
 
 
