@@ -138,8 +138,8 @@ def _shift_jis_seen(codec: str) -> str:
 
 @lru_cache(maxsize=None)
 def _quick():
-    """Two cheap tests that together pass every text a hint may match: a pair
-    of a lead and a following character of any codec, or a telling one."""
+    """Cheap tests that together pass every text a hint may match: a pair of a
+    lead and a following character of any codec, a telling one, double pairs."""
     leads, conts, high = set(), {LOST}, set()
     for codec in SINGLE:
         for c, b in byte_table(codec).items():
@@ -151,8 +151,9 @@ def _quick():
                 high.add(c)
     pair = re.compile(f"{_char_class(leads)}{_char_class(conts)}|{_char_class(high)}{{4}}")
     seen = "".join(x for codec in ("cp932", "euc_jp", "gb18030") for x in _utf8_seen(codec))
-    double = "|".join(_shift_jis_seen(codec) for codec in DOUBLE_READ)
-    return pair, re.compile(f"[{LOST}\x80-\x9f｡-ﾟ\ue000-\uf8ff{seen}]|{double}", re.S)
+    double = [p for codec in DOUBLE_READ for p in _shift_jis_seen(codec).split("|")]
+    # one pattern each: their first character classes make them quick
+    return [pair, re.compile(f"[{LOST}\x80-\x9f｡-ﾟ\ue000-\uf8ff{seen}]")] + [re.compile(p, re.S) for p in dict.fromkeys(double)]
 
 
 @lru_cache(maxsize=None)
@@ -162,17 +163,16 @@ def _any_hint():
 
 def suspect(text: str) -> bool:
     """Whether a text may hold characters of a wrong decoding."""
-    pair, telling = _quick()
-    return bool(pair.search(text) or telling.search(text)) and bool(_any_hint().search(text))
+    return any(p.search(text) for p in _quick()) and bool(_any_hint().search(text))
 
 
 @lru_cache(maxsize=None)
 def letters_of(c: str) -> str:
-    """Kind of a letter: kanji, hiragana and katakana are apart, since words have
+    """Kind of a letter (or an apostrophe): kanji, hiragana and katakana are apart, since words have
     no gaps there; empty for what is no letter."""
     if c < "\x80":
         return "A" if c.isalpha() else ""
-    if not (c.isalpha() or unicodedata.category(c)[0] == "M"):
+    if not (c.isalpha() or c == "’" or unicodedata.category(c)[0] == "M"):
         return ""
     if "\u3041" <= c <= "\u309f":
         return "H"
@@ -186,7 +186,7 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "?").split(" ")[0]
 
 
-_RUNS = re.compile(r"[㐀-鿿々]+|[ぁ-ゟ]+|[゠-ヿ]+|[^\W\d_ぁ-ヿ㐀-鿿々]+")
+_RUNS = re.compile(r"[㐀-鿿々]+|[ぁ-ゟ]+|[゠-ヿ]+|[^\W\d_ぁ-ヿ㐀-鿿々]+(?:’[^\W\d_ぁ-ヿ㐀-鿿々]*)*")
 
 
 def word_cells(word: str) -> tuple[int, int]:
@@ -212,6 +212,9 @@ class CorpusModel:
         for c, cost in self.cost.items():
             if c >= "\x80" and c.isalpha() and letters_of(c) == "A":
                 self.letters.setdefault(_script(c), []).append((c, cost))
+        for found in self.letters.values():
+            if "’" in self.cost:
+                found.append(("’", self.cost["’"]))
         self._wild: dict[str, dict] = {}
         self._known: dict[str, float] = {}
 
@@ -308,6 +311,7 @@ def viterbi(text: str, read: str, written: str, model: CorpusModel) -> tuple[flo
     widths = {"utf-8": (2, 3, 4), "cp932": (2, 1), "euc_jp": (2, 3)}[written]
     inf = float("inf")
     between = byte_table("cp1252")
+    of, unseen = model.cost.get, model.unseen
     best = [[inf, inf] for _ in range(n + 1)]
     back: list[list] = [[None, None] for _ in range(n + 1)]
     best[0][0] = 0.0
@@ -321,14 +325,14 @@ def viterbi(text: str, read: str, written: str, model: CorpusModel) -> tuple[flo
             if k is not None:
                 c, b = parts[k]
                 j = i + (len(b) if b is not None else 1)
-                cost = at + model.of(c)
+                cost = at + of(c, unseen)
                 # plain ASCII inside a span neither ends nor starts one
                 to = state if c < "\x80" else 0
                 if cost < best[j][to]:
                     best[j][to], back[j][to] = cost, (i, state, c, 0)
-            elif at + model.unseen < best[i + 1][0]:
+            elif at + unseen < best[i + 1][0]:
                 # the span ends inside a wrong character, whose other bytes are lost
-                best[i + 1][0], back[i + 1][0] = at + model.unseen, (i, state, LOST, 0)
+                best[i + 1][0], back[i + 1][0] = at + unseen, (i, state, LOST, 0)
             if solid[i] and data_bytes[i] < 0x80 or not solid[i] and not wild[i]:
                 continue
             for w in widths:
@@ -349,13 +353,13 @@ def viterbi(text: str, read: str, written: str, model: CorpusModel) -> tuple[flo
                 d = _decoded(data_bytes[i:j], written)
                 if d is None:
                     continue
-                cost = at + model.of(d) + (0.0 if state else SPAN_COST)
+                cost = at + of(d, unseen) + (0.0 if state else SPAN_COST)
                 if d >= "\u0100" and d not in model.cost and d not in between:
                     cost += NEVER_SEEN  # only a second decoding may explain it
                 if cost < best[j][1]:
                     best[j][1], back[j][1] = cost, (i, state, d, 1)
     state = 0 if best[n][0] <= best[n][1] else 1
-    kept = sum(model.of(c) for c in text)
+    kept = sum(of(c, unseen) for c in text)
     gain = kept - best[n][state]
     out, decoded, at, streak, longest = [], 0, n, 0, 0
     while at > 0:
@@ -371,9 +375,10 @@ def viterbi(text: str, read: str, written: str, model: CorpusModel) -> tuple[flo
 
 
 class _Paths:
-    """Hypotheses at one byte position by (state, word so far).  Those that close
-    a word with filled gaps compete among themselves first: unless one has
-    DECISIVE of their probability, none of them is taken."""
+    """Hypotheses at one byte position by (state, word so far, whether a gap is
+    filled in it).  Those that close a word with filled gaps compete among
+    themselves first: unless one has DECISIVE of their probability, none of them
+    is taken.  Only paths with filled gaps in an open word are ever left out."""
 
     def __init__(self):
         self.plain: dict = {}
@@ -393,7 +398,9 @@ class _Paths:
             if mass * DECISIVE <= 1 and (key not in out or best[0] < out[key][0]):
                 out[key] = best
         if len(out) > BEAM:
-            out = dict(sorted(out.items(), key=lambda x: x[1][0])[:BEAM])
+            open_gaps = sorted((k for k in out if k[2]), key=lambda k: out[k][0])
+            for key in open_gaps[BEAM:]:
+                del out[key]
         return out
 
 
@@ -416,13 +423,13 @@ def decode(text: str, read: str | None, written: str | None, model: CorpusModel)
     between = byte_table("cp1252")
     nodes: list[tuple[int, str, int]] = []
     at = [_Paths() for _ in range(n + 1)]
-    at[0].put((0, ""), (0.0, 0.0, -1, 0, 0), False)
+    at[0].put((0, "", False), (0.0, 0.0, -1, 0, 0), False)
 
     def closed(word, path):
         """Cost of a path once its word ends; None where a gap may not be filled."""
         cost, by_chars, _, gaps, whole = path
         gain = model.word_gain(word, by_chars)
-        if gaps and (not model.word_count(word) or len(word) < 2 or whole and len(word) - whole < 2 * whole):
+        if gaps and (not model.word_count(word) or len(word) < 2 or len(word) - whole < whole):
             return None
         return cost - gain
 
@@ -432,16 +439,16 @@ def decode(text: str, read: str | None, written: str | None, model: CorpusModel)
             kind = ""
         if kind and word and letters_of(word[-1]) == kind:
             nodes.append((path[2], c, was))
-            at[j].put((state, word + c), (path[0] + price, path[1] + price, len(nodes) - 1, path[3] + gap, path[4] + whole), False)
+            at[j].put((state, word + c, path[3] + gap > 0), (path[0] + price, path[1] + price, len(nodes) - 1, path[3] + gap, path[4] + whole), False)
             return
         cost = closed(word, path)
         if cost is not None:
             nodes.append((path[2], c, was))
-            at[j].put((state, c if kind else ""), (cost + price, price if kind else 0.0, len(nodes) - 1, gap, whole), path[3] > 0)
+            at[j].put((state, c if kind else "", gap > 0), (cost + price, price if kind else 0.0, len(nodes) - 1, gap, whole), path[3] > 0)
 
     for i in range(n):
         k = starts.get(i)
-        for (state, word), path in at[i].settle().items():
+        for (state, word, _), path in at[i].settle().items():
             if k is not None:
                 c, b = parts[k]
                 j = i + (len(b) if b is not None else 1)
@@ -476,11 +483,11 @@ def decode(text: str, read: str | None, written: str | None, model: CorpusModel)
                     never = NEVER_SEEN if d >= "\u0100" and d not in model.cost and d not in between else 0.0
                     extend(j, 1, word, path, d, model.of(d) + enter + never, 1, 0, 0)
     last = _Paths()
-    for (state, word), path in at[n].settle().items():
+    for (state, word, _), path in at[n].settle().items():
         cost = closed(word, path)
         if cost is not None:
-            last.put((0, ""), (cost, 0.0, path[2], 0, 0), path[3] > 0)
-    cost, _, node, _, _ = last.settle()[0, ""]
+            last.put((0, "", False), (cost, 0.0, path[2], 0, 0), path[3] > 0)
+    cost, _, node, _, _ = last.settle()[0, "", False]
     out, decoded, streak, longest = [], 0, 0, 0
     while node >= 0:
         node, c, was = nodes[node]
@@ -497,21 +504,32 @@ _PIECE = re.compile(r"(<[^<>]*>)")
 
 
 def _readings(piece: str, model: CorpusModel):
-    """Best one-step restoration for each encoding it may be written in."""
-    best: dict[str, tuple[float, str, int]] = {}
+    """Best one-step restoration for each encoding it may be written in: by
+    characters first, and by words where that comes near the best."""
+    near: list = []
     for codec, pattern in hints():
         if not pattern.search(piece):
             continue
         for written in WRITTEN.get(codec, ("utf-8", "cp932", "euc_jp")):
-            if codec in SINGLE and written != "utf-8" and codec not in ("cp1252", "latin-1", "mac_roman", "cp1251"):
+            if codec in SINGLE and written != "utf-8" and codec not in DOUBLE_READ:
                 continue
             got = viterbi(piece, codec, written, model)
-            if got[2] and got[0] > HOPELESS:
-                got = decode(piece, codec, written, model)
-            if got[2] and got[0] > best.get(written, (MARGIN,))[0]:
-                best[written] = got
-                if got[0] > CLEAR_GAIN and not suspect(got[1]) and all(c in model.cost for c in got[1]):
-                    return [got]  # nothing is left to explain
+            if not got[2] or got[0] <= HOPELESS:
+                continue
+            near.append((got, codec, written))
+            if got[0] > CLEAR_GAIN and not suspect(got[1]) and all(c in model.cost for c in got[1]):
+                break  # nothing is left to explain
+        else:
+            continue
+        near = near[-1:]
+        break
+    best: dict[str, tuple[float, str, int]] = {}
+    top = max((x[0][0] for x in near), default=0.0)
+    for got, codec, written in near:
+        if got[0] > top + HOPELESS:
+            got = decode(piece, codec, written, model)
+        if got[2] and got[0] > best.get(written, (MARGIN,))[0]:
+            best[written] = got
     return list(best.values())
 
 
