@@ -1,8 +1,8 @@
 """Values cut off by field limits or mid-transfer.
 
-A stack automaton reads the end of each value: open tags, quotes and brackets,
-a tag, entity or multi-byte character broken off, and whether the last
-sentence has its terminator.  Values without one are held against the baseline
+A stack automaton reads each value from its first character to its last: tags
+left open, quotes and brackets, a tag, entity or multi-byte character broken
+off, and whether the last sentence has its terminator.  Values without one are held against the baseline
 of their source: a shape that makes up a share of the source's values (captions,
 credits, links) counts as whole.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import html.entities
 import re
 from functools import lru_cache
 
@@ -34,11 +35,13 @@ _END = re.compile(r"[.!?。．！？](?:[»”\"’'）)\]」』】›“*_]|\s(
 _INNER_END = re.compile(r"[.!?](?:[»”\"’')\]])*\s+\S|[。！？](?:[」』）])*\S")
 _URL = re.compile(r"^\s*(?:https?://|www\.)\S+\s*$", re.I)
 _TOKEN = re.compile(r"<!--.*?-->|<(/?)([A-Za-z][A-Za-z0-9]*)\b([^<>]*)>|<[A-Za-z/!][^<>]*$|<$|&(?:[A-Za-z]{2,31}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});", re.S)
-_BROKEN_ENTITY = re.compile(r"&(?:#\d{0,6}|#[xX][0-9A-Fa-f]{0,5}|[A-Za-z]{1,8})$")
+_ENTITY_START = re.compile(r"(.?)&(#\d{0,6}|#[xX][0-9A-Fa-f]{0,5}|[A-Za-z]{1,8})$", re.S)
+_SEEN = "\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+#: UTF-8 taken for single bytes, whose last character lacks some of its bytes.
+_BROKEN_BYTES = re.compile(f"(?:[â-ï][{_SEEN}]{{2}}|[Â-ß][{_SEEN}])(?:[à-ï][{_SEEN}]?|[Â-ß])$|\ufffd$")
 _VOID = {"br", "img", "hr", "input", "wbr", "meta", "link", "source", "area", "base", "col", "embed", "track"}
 _OPTIONAL_END = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
 _PAIRS = {"(": ")", "[": "]", "“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "（": "）", "【": "】"}
-_CLOSERS = {v: k for k, v in _PAIRS.items()}
 
 
 @lru_cache(maxsize=None)
@@ -65,17 +68,40 @@ def garbled_ends() -> tuple[str, ...]:
     return tuple(sorted(x for x in out if len(x) > 1))
 
 
+@lru_cache(maxsize=None)
+def _entity_starts() -> tuple[frozenset, frozenset]:
+    """Beginnings of all entity names, and of the common lower-case ones."""
+    starts = lambda names: frozenset(n[:k] for n in names for k in range(1, len(n) + 1))
+    return starts(n.rstrip(";") for n in html.entities.html5), starts(n for n in html.entities.name2codepoint if n.islower())
+
+
+def broken_entity(text: str) -> bool:
+    """Whether a text ends inside an entity.  After a letter or digit (AT&T, R&D,
+    rock&roll) it takes two letters of a common name."""
+    m = _ENTITY_START.search(text)
+    if not m:
+        return False
+    if m[2].startswith("#"):
+        return True
+    known, common = _entity_starts()
+    return len(m[2]) > 1 and m[2] in common if m[1].isalnum() else m[2] in known
+
+
 class Tail:
-    """State of the automaton at the end of a line of markup."""
+    """State of the automaton at the end of a value.
+
+    stack: open elements with the place where each was opened; `implied` counts
+    elements whose end tag was left out, which HTML allows for some."""
 
-    def __init__(self, line: str):
-        self.stack: list[str] = []
+    def __init__(self, value: str):
+        self.stack: list[tuple[str, int]] = []
+        self.implied = 0
         self.in_tag = False
         self.ends_with_tag = False
         text = []
-        at = 0
-        for m in _TOKEN.finditer(line):
-            text.append(line[at : m.start()])
+        at, size = 0, len(value.rstrip())
+        for m in _TOKEN.finditer(value):
+            text.append(value[at : m.start()])
             at = m.end()
             token = m[0]
             if token.startswith("&"):
@@ -88,16 +114,21 @@ class Tail:
                 continue
             name = m[2].lower()
             if m[1]:
-                if name in self.stack:
-                    while self.stack.pop() != name:
-                        pass
+                if any(n == name for n, _ in self.stack):
+                    while self.stack.pop()[0] != name:
+                        self.implied += 1
             elif name not in _VOID and not m[3].rstrip().endswith("/"):
-                self.stack.append(name)
-            self.ends_with_tag = at == len(line.rstrip())
-        rest = line[at:]
-        self.broken_entity = bool(_BROKEN_ENTITY.search(rest))
+                if name in _OPTIONAL_END and self.stack and self.stack[-1][0] == name:
+                    self.stack.pop()
+                    self.implied += 1
+                self.stack.append((name, m.start()))
+            self.ends_with_tag = at == size
+        rest = value[at:]
+        self.broken_entity = broken_entity(rest)
         text.append(rest)
-        self.text = "".join(text).strip()
+        visible = "".join(text)
+        self.text = visible.strip()
+        self.last_line = visible[visible.rfind("\n", 0, len(visible)) + 1 :].strip()
 
 
 def open_marks(text: str) -> list[str]:
@@ -138,7 +169,7 @@ def summary_verdict(summary: str, body: str | None) -> tuple[int, str]:
         return CUT, "mark"
     if _URL.match(s):
         return WHOLE, ""
-    tail = Tail(s.split("\n")[-1])
+    tail = Tail(s)
     if tail.in_tag:
         return CUT, "tag"
     if tail.broken_entity:
@@ -147,7 +178,7 @@ def summary_verdict(summary: str, body: str | None) -> tuple[int, str]:
         return WHOLE, ""
     if tail.ends_with_tag and not tail.stack and s.startswith("<"):
         return WHOLE, ""
-    if s.endswith("�"):
+    if _BROKEN_BYTES.search(s):
         return CUT, "multibyte"
     if _INNER_END.search(s):
         return CUT, "sentence"
@@ -163,24 +194,29 @@ def html_verdict(value: str) -> tuple[int, str]:
     v = value.rstrip()
     if not v:
         return WHOLE, ""
-    lines = v.split("\n")
-    tail = Tail(lines[-1])
+    last = v.rfind("\n") + 1
+    tail = Tail(v)
     if tail.in_tag:
         return CUT, "tag"
     if tail.broken_entity:
         return CUT, "escape"
-    if _MARK.search(tail.text):
+    if _MARK.search(tail.last_line):
         return CUT, "mark"
-    ended = terminated(tail.text)
-    if tail.stack:
-        if not ended:
-            return CUT, "sentence"
-        if set(tail.stack) <= _OPTIONAL_END and any(Tail(x).stack for x in lines[:-1] if x):
-            return WHOLE, ""  # this body leaves such elements open elsewhere too
+    ended = terminated(tail.last_line)
+    opened = [name for name, at in tail.stack if at >= last]
+    before = [name for name, at in tail.stack if at < last]
+    if opened and not ended:
+        return CUT, "sentence"
+    if not set(opened + before) <= _OPTIONAL_END:
         return CUT, "line"
-    if ended or not tail.text or tail.ends_with_tag:
+    if opened:
+        # a body that leaves such elements open elsewhere too is whole
+        return (WHOLE, "") if tail.implied or before else (CUT, "line")
+    if ended or not tail.last_line or tail.ends_with_tag:
         return WHOLE, ""
-    if len(lines) > 1 or _INNER_END.search(tail.text) or open_marks(tail.text):
+    if _BROKEN_BYTES.search(v):
+        return CUT, "multibyte"
+    if last or _INNER_END.search(tail.last_line) or open_marks(tail.text):
         return CUT, "sentence"
     return UNSURE, "terminator"
 
@@ -206,7 +242,7 @@ def _judged(batches):
             if h:
                 v, why = html_verdict(h)
                 if v != WHOLE:
-                    out.append((i, 1, v, why, *_form(Tail(h.rstrip()).text, v)))
+                    out.append((i, 1, v, why, *_form(Tail(h.rstrip()).last_line, v)))
         yield pd.DataFrame(out, columns=["id", "field", "verdict", "reason", "shape", "digest"]).astype({"field": np.int32, "verdict": np.int32})
 
 
@@ -221,8 +257,8 @@ def truncated_values(
     sentence ends is whole if at least shape_count distinct texts have its shape
     and, in one of its sources (links: item_id, source_id), other values of that
     shape make up SHAPE_SHARE; items without a source form one source; repeated
-    ids give repeated rows; long values are read whole, line by line; other
-    columns are ignored."""
+    ids give repeated rows; long values are read whole; other columns are
+    ignored."""
     src = rows.select(
         F.col(id_col).cast("string").alias("id"), F.col(summary_col).alias("summary"), F.col(html_col).alias("html"),
         F.col(title_col).alias("title"), F.col(text_col).alias("body"),
@@ -256,14 +292,21 @@ def truncated_values(
 
 
 def source_rates(rows: DataFrame, links: DataFrame, cut_values: DataFrame, id_col: str = "id", fields=("summary", "content_html")) -> DataFrame:
-    """(source_id, field_name, filled, truncated, share) for every source; an
-    item of two sources counts in both, a repeated link once."""
+    """(source_id, field_name, filled, truncated, share, usual_length, at_length)
+    for every source: how often it truncates each field, and the commonest length
+    of its cut values with their number, which shows a fixed limit (of equally
+    common lengths the greater; null and 0 without cut values).  An item of two
+    sources counts in both, a repeated link once."""
     pairs = links.select("item_id", "source_id").filter("item_id is not null and source_id is not null").distinct()
-    filled = [F.when(F.col(f).isNotNull() & (F.col(f) != ""), F.lit(f)) for f in fields]
-    has = rows.select(F.col(id_col).alias("item_id"), F.explode(F.array_compact(F.array(*filled))).alias("field_name"))
+    filled = [F.when(F.col(f).isNotNull() & (F.col(f) != ""), F.struct(F.lit(f).alias("field_name"), F.length(f).alias("length"))) for f in fields]
+    has = rows.select(F.col(id_col).alias("item_id"), F.explode(F.array_compact(F.array(*filled))).alias("v")).select("item_id", "v.*")
     marked = has.join(cut_values.select(F.col("id").alias("item_id"), "field_name", F.lit(1).alias("is_cut")).distinct(), ["item_id", "field_name"], "left")
+    by_length = marked.join(pairs, "item_id").groupBy("source_id", "field_name", F.when(F.col("is_cut") == 1, F.col("length")).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.count("is_cut").alias("cut"))
+    common = F.when(F.col("length").isNotNull(), F.struct("cut", "length"))
     return (
-        marked.join(pairs, "item_id").groupBy("source_id", "field_name")
-        .agg(F.count(F.lit(1)).alias("filled"), F.count("is_cut").alias("truncated"))
-        .withColumn("share", F.round(F.col("truncated") / F.col("filled"), 6))
+        by_length.groupBy("source_id", "field_name").agg(F.sum("n").alias("filled"), F.sum("cut").alias("truncated"), F.max(common).alias("common"))
+        .select(
+            "source_id", "field_name", "filled", "truncated", F.round(F.col("truncated") / F.col("filled"), 6).alias("share"),
+            F.col("common.length").alias("usual_length"), F.coalesce("common.cut", F.lit(0)).alias("at_length"),
+        )
     )

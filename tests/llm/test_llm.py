@@ -295,13 +295,16 @@ def test_vectors_against_brute_force(spark):
         ("<p>One sentence.</p>\n<p>Follow us</p>", 0), ("<p>One sentence.</p>\n<p>Another one that sto", 1), ("<p>One.</p>\n<p>Two <a href=\"https://x", 1),
         ("<p>One.</p>\n<di", 1), ("<p>One.</p", 1), ("Plain line one.\nPlain line two.", 0), ("Plain line one.\nPlain li", 1), ("<p>One.\n<p>Two.", 0),
         ("<p>One.</p>\n<p>Two.", 1), ("<p>A &amp; B &qu", 1), ("<p>One.</p>\n<img src=\"x\" alt=\"\">", 0), ("", 0), ("   ", 0), ("<p>One.</p>\n<p>And so on…</p>", 1),
+        # elements opened on lines of their own
+        ("<div>\n<blockquote>\n<p>Hello there.</p>", 1), ("<div>\n<blockquote>\n<p>Hello there.</p>\n</blockquote>\n</div>", 0), ("<ul>\n<li>One.\n<li>Two.", 1), ("<ul>\n<li>One.\n<li>Two.\n</ul>", 0),
+        ("<p>One.\n<p>Two.\n<img src=\"x\">", 0), ("<table>\n<tr><td>a.</td></tr>", 1), ("<p>One.</p>\n" * 5000 + "<div>\n<p>End.</p>", 1), ("<p>Shares of AT&T", 1), ("<p>One.</p>\n<p>A word in R&D</p>", 0),
     ],
 )
 def test_html_verdict(value, want):
     assert truncation.html_verdict(value)[0] == want
 
 
-@pytest.mark.parametrize("value,want", [("A whole sentence.", 0), ("A whole one. And a half", 1), ("Anything [...]", 1), ("https://a.example/s/1", 0), ("「そうだ」と話す。", 0), ("今月も分かれている。フグラ市の朝はいつも", 1), ("“Quoted.”", 0), ("Via Gafahix GmbH", 2)])
+@pytest.mark.parametrize("value,want", [("A whole sentence.", 0), ("A whole one. And a half", 1), ("Anything [...]", 1), ("https://a.example/s/1", 0), ("「そうだ」と話す。", 0), ("今月も分かれている。フグラ市の朝はいつも", 1), ("“Quoted.”", 0), ("Via Gafahix GmbH", 2), ("Via AT&T", 2), ("Photo: R&D", 2), ("Q&A", 2), ("rock&roll", 2), ("Tom &am", 1), ("Tom&am", 1), ("Caf&#2", 1), ("dÃ©jÃ©Ã", 1)])
 def test_summary_verdict(value, want):
     assert truncation.summary_verdict(value, None)[0] == want
 
@@ -312,7 +315,7 @@ def test_truncated_values(spark):
     got = truncation.truncated_values(df)
     assert [(r["id"], r["field_name"]) for r in got.collect()] == [("x", "summary")]
     rates = truncation.source_rates(df, spark.createDataFrame([("x", "s"), ("x", "s"), ("v1", "s")], "item_id string, source_id string"), got).collect()
-    assert [(r["filled"], r["truncated"], r["share"]) for r in rates] == [(2, 1, 0.5)]
+    assert [(r["filled"], r["truncated"], r["share"], r["usual_length"], r["at_length"]) for r in rates] == [(2, 1, 0.5, 44, 1)]
     assert truncation.truncated_values(df.limit(0)).count() == 0
 
 
