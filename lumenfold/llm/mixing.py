@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-MAX_PATTERNS = 100_000
 REPEAT_COST = 10
 TOP_UPS = 2
 
@@ -37,6 +36,16 @@ class MinCostFlow:
         v, _, _, r = self.graph[u][k]
         return self.graph[v][r][1]
 
+    def reachable(self, s: int) -> set[int]:
+        """Nodes that capacity is left to: the near side of a minimum cut."""
+        seen, todo = {s}, [s]
+        while todo:
+            for v, cap, _, _ in self.graph[todo.pop()]:
+                if cap > 0 and v not in seen:
+                    seen.add(v)
+                    todo.append(v)
+        return seen
+
     def run(self, s: int, t: int) -> int:
         """Send as much as possible from s to t at least cost."""
         n = len(self.graph)
@@ -82,9 +91,11 @@ def largest_total(shares: dict[str, float], reach: dict[str, int]) -> int:
 
 
 def plan(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, int]]):
-    """Tokens of (pattern, source, repeat) that make up the largest exact mix.
+    """(flow, quota) of the largest exact mix: tokens of (pattern, source, repeat).
 
-    patterns: tokens of the documents that exactly these sources hold."""
+    patterns: tokens of the documents that exactly these sources hold.  The size
+    of the mix is found by Newton steps on minimum cuts: a flow that leaves quotas
+    open shows the cut that binds, and the size at which this cut holds."""
     reach: dict[str, int] = {}
     for members, tokens in patterns.items():
         for s in members:
@@ -94,44 +105,31 @@ def plan(patterns: dict[tuple[str, ...], int], targets: dict[str, tuple[float, i
     scale = sum(present.values())
     shares = {s: w / scale for s, w in present.items()} if scale > 0 else {}
     names = sorted(shares)
-    keys = sorted(patterns)
+    keys = sorted(m for m in patterns if any(s in shares for s in m))
     node = {s: 1 + len(keys) + i for i, s in enumerate(names)}
     sink = 1 + len(keys) + len(names)
-
-    def solve(total: int):
+    total = largest_total(shares, reach)
+    while True:
         quota = {s: int(shares[s] * total) for s in names}
         g = MinCostFlow(sink + 1)
-        taken = []
+        taken, limits = [], []
         for p, members in enumerate(keys):
             inside = [s for s in members if s in node]
-            if not inside:
-                continue
-            most = max(targets[s][1] for s in inside)
-            g.edge(0, 1 + p, patterns[members] * most, 0)
+            limits.append(patterns[members] * max(targets[s][1] for s in inside))
+            g.edge(0, 1 + p, limits[-1], 0)
             for s in inside:
-                for r in range(targets[s][1]):  # convex: the r-th use costs r times more
+                # convex: the r-th use costs r times more; no more uses than the quota could take
+                for r in range(min(targets[s][1], quota[s] // patterns[members] + 1)):
                     taken.append((members, s, r, g.edge(1 + p, node[s], patterns[members], r * REPEAT_COST)))
         for s in names:
             g.edge(node[s], sink, quota[s], 0)
-        sent = g.run(0, sink)
-        return sent >= sum(quota.values()), [(m, s, r, g.flow_on(e)) for m, s, r, e in taken if g.flow_on(e) > 0], quota
-
-    high = largest_total(shares, reach)
-    low, best = 0, None
-    while low < high:  # with overlapping sources the simple bound may be too high
-        middle = (low + high + 1) // 2 if best is not None or high - low < 2 else high
-        ok, flow, quota = solve(middle)
-        if ok:
-            low, best = middle, (flow, quota)
-        else:
-            high = middle - 1
-            best = best or ([], {})
-        if high - low <= max(1, high // 10_000):
-            break
-    if not best or not best[0]:
-        ok, flow, quota = solve(low)
-        best = (flow, quota)
-    return best
+        if g.run(0, sink) >= sum(quota.values()) or total <= 0:
+            return [(m, s, r, g.flow_on(e)) for m, s, r, e in taken if g.flow_on(e) > 0], quota
+        inside = g.reachable(0)
+        fixed = sum(limits[p] for p in range(len(keys)) if 1 + p not in inside)
+        fixed += sum(patterns[m] * targets[s][1] for p, m in enumerate(keys) if 1 + p in inside for s in m if s in node and node[s] not in inside)
+        free = 1 - sum(shares[s] for s in names if node[s] in inside)
+        total = min(total - 1, int(fixed / free) if free > 1e-12 else total - 1)
 
 
 def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
@@ -150,7 +148,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 1) -> DataFram
     the first by share; an empty table gives no rows; a source with a third of
     all rows is aggregated before the plan and ranked in hash buckets."""
     goal = {}
-    for r in targets.select("source", "target_share", "max_repeats").orderBy("source", F.desc("target_share")).limit(10_000).collect():
+    for r in targets.select("source", "target_share", "max_repeats").orderBy("source", F.desc("target_share")).collect():
         if r["source"] is not None and r["target_share"] and r["target_share"] > 0 and r["max_repeats"] and r["max_repeats"] > 0:
             goal.setdefault(r["source"], (float(r["target_share"]), int(r["max_repeats"])))
     spark = sized.sparkSession
@@ -163,9 +161,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 1) -> DataFram
     members = texts.groupBy("copy_of").agg(F.array_sort(F.collect_set("source")).alias("pattern"))
     texts = cut(texts.join(members, "copy_of"))
     totals = texts.groupBy("pattern", "copy_of").agg(F.max("tokens").alias("t")).groupBy("pattern").agg(F.sum("t").alias("t"))
-    found = totals.orderBy(F.desc("t")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} combinations of sources share texts")
+    found = totals.collect()  # one row per combination of target sources
     flow, _ = plan({tuple(r["pattern"]): int(r["t"]) for r in found}, goal)
     if not flow:
         return texts.limit(0).select("doc_id", "source", "tokens", F.lit(1).alias("uses"))

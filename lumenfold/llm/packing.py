@@ -9,7 +9,7 @@ ones, and small items and the rest go best-fit, largest first, into what is
 left.
 
 Large tables are packed in parallel shards of about SHARD_ITEMS items, dealt by
-a hash of the id; each shard wastes at most the open containers of its end.
+row number; each shard wastes at most the open containers of its end.
 """
 
 from __future__ import annotations
@@ -146,40 +146,40 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
 
 def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
     capacity = int(pdf["capacity"].iloc[0])
-    pdf = pdf.sort_values(["tokens", "doc_id", "piece"], kind="stable")
+    pdf = pdf.sort_values(["tokens", "doc_id", "item"], kind="stable")
     pdf = pdf.assign(container=np.asarray(pack(pdf["tokens"].tolist(), capacity), dtype=np.int64))
-    return pdf[["container_kind", "capacity", "shard", "container", "doc_id", "piece", "tokens"]]
+    return pdf[["capacity", "shard", "container", "doc_id", "piece", "tokens"]]
 
 
 def fill_containers(sized: DataFrame, containers: DataFrame, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(container_kind, capacity, shard, container, doc_id, piece, tokens): every
-    item once per kind; (shard, container) names a container.
+    item once per kind and capacity; (container_kind, capacity, shard, container)
+    names a container.
 
     Defined cases: items of 0 tokens take no space and are left out, their
     documents having nothing to place; an item over the capacity becomes
     pieces 0, 1, ... of which all but the last fill a container (of shard -1)
-    each; kinds with a null or non-positive capacity have no rows; repeated
-    ids are separate items; other columns are ignored."""
-    items = sized.select("doc_id", "tokens").filter("tokens > 0")
-    total = items.count()
-    shards = max(1, math.ceil(total / shard_items))
-    kinds = containers.select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).filter("capacity > 0")
-    # a handful of container kinds, each a full pass over the items
-    each = items.crossJoin(F.broadcast(kinds.limit(1000)))
+    each; kinds with a null or non-positive capacity have no rows; rows that
+    repeat a kind with its capacity count once, a kind with several capacities
+    is packed for each; repeated ids are separate items, which row numbers tell
+    apart; other columns are ignored."""
+    # numbered once and written, so that a row keeps its number in every use
+    items = cut(sized.select("doc_id", "tokens").filter("tokens > 0").withColumn("item", F.monotonically_increasing_id()))
+    shards = max(1, math.ceil(items.count() / shard_items))
+    kinds = containers.select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).filter("capacity > 0").distinct()
+    # one pass over the items per capacity, whatever the number of kinds that have it
+    capacities = sorted(r["capacity"] for r in kinds.select("capacity").distinct().collect())
+    each = items.withColumn("capacity", F.explode(F.array(*[F.lit(c).cast("long") for c in capacities]).cast("array<bigint>")))
     each = each.withColumn("full", F.floor((F.col("tokens") - 1) / F.col("capacity")))
-    pieces = each.filter("full > 0").select("container_kind", "capacity", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"))
-    filled = pieces.select(
-        "container_kind", "capacity", F.lit(-1).alias("shard"), F.xxhash64("doc_id", "piece").alias("container"), "doc_id",
-        F.col("piece").cast("int").alias("piece"), F.col("capacity").alias("tokens"),
+    filled = each.filter("full > 0").select("capacity", "item", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece")).select(
+        "capacity", F.lit(-1).alias("shard"), F.xxhash64("item", "piece").alias("container"), "doc_id", F.col("piece").cast("int").alias("piece"), F.col("capacity").alias("tokens")
     )
     rest = each.select(
-        "container_kind", "capacity", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id",
+        "capacity", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int").alias("shard"), "item", "doc_id",
         F.col("full").cast("int").alias("piece"), (F.col("tokens") - F.col("full") * F.col("capacity")).alias("tokens"),
     )
-    packed = rest.groupBy("container_kind", "shard").applyInPandas(
-        _packed, "container_kind string, capacity long, shard int, container long, doc_id long, piece int, tokens long"
-    )
-    return packed.unionByName(filled)
+    packed = rest.groupBy("capacity", "shard").applyInPandas(_packed, "capacity long, shard int, container long, doc_id long, piece int, tokens long")
+    return kinds.join(packed.unionByName(filled), "capacity").select("container_kind", "capacity", "shard", "container", "doc_id", "piece", "tokens")
 
 
 def fill_report(packed: DataFrame) -> DataFrame:

@@ -366,6 +366,22 @@ def test_fill_containers(spark):
     assert max(per.values()) <= 10 and sum(per.values()) == 48
     assert sorted(r["piece"] for r in rows if r["doc_id"] == 1) == [0, 1, 2] and not [r for r in rows if r["doc_id"] == 3]
     assert packing.fill_containers(sized.limit(0), kinds).count() == 0
+    assert packing.fill_containers(sized, kinds.filter("container_kind <> 'k'")).count() == 0
+
+
+def test_repeated_ids_and_several_capacities(spark):
+    sized = spark.createDataFrame([(7, 25)] * 40 + [(i, 9) for i in range(20)], "doc_id long, tokens long")
+    kinds = spark.createDataFrame([("k", 10), ("k", 30), ("k", 10), ("m", 30)], "container_kind string, capacity_tokens int")
+    packed = packing.fill_containers(sized, kinds, shard_items=16)
+    load = {}
+    for r in packed.collect():
+        key = (r["container_kind"], r["capacity"], r["shard"], r["container"])
+        load[key] = load.get(key, 0) + r["tokens"]
+    assert all(t <= k[1] for k, t in load.items())
+    for kind in (("k", 10), ("k", 30), ("m", 30)):
+        assert sum(t for k, t in load.items() if k[:2] == kind) == 40 * 25 + 20 * 9
+    assert {(r["container_kind"], r["capacity"]): r["fullest"] <= r["capacity"] for r in packing.fill_report(packed).collect()} == {("k", 10): True, ("k", 30): True, ("m", 30): True}
+    assert len({k[2] for k in load if k[2] >= 0}) > 1
 
 
 def test_mix(spark):
@@ -387,6 +403,29 @@ def test_mix(spark):
     assert mixing.mix_report(mixing.mix_sources(df, targets), targets).count() == 5
 
 
+def test_plan_is_the_largest_mix():
+    rng = random.Random(12)
+    for _ in range(60):
+        names = "abcd"[: rng.randrange(2, 5)]
+        patterns = {}
+        for _ in range(rng.randrange(1, 7)):
+            patterns[tuple(sorted(rng.sample(names, rng.randrange(1, len(names) + 1))))] = rng.randrange(50, 5000)
+        targets = {s: (rng.choice([0.1, 0.3, 0.6]), rng.randrange(1, 4)) for s in names}
+        flow, quota = mixing.plan(patterns, targets)
+        present = [s for s in names if any(s in m for m in patterns)]
+        got = {s: sum(t for _, x, _, t in flow if x == s) for s in present}
+        assert got == {s: quota[s] for s in present}
+        for m in patterns:  # no pattern beyond its repeats
+            assert all(t <= patterns[m] for mm, _, _, t in flow if mm == m)
+            assert sum(t for mm, _, _, t in flow if mm == m) <= patterns[m] * max(targets[s][1] for s in m)
+        # no larger mix: by every set of sources (max-flow min-cut over single sources' sets)
+        scale = sum(targets[s][0] for s in present)
+        most = min(
+            sum(min(t * max(targets[s][1] for s in m), sum(t * targets[s][1] for s in m if s in part)) for m, t in patterns.items() if set(m) & set(part)) / (sum(targets[s][0] for s in part) / scale)
+            for k in range(1, 2 ** len(present)) for part in [[s for i, s in enumerate(present) if k >> i & 1]])
+        assert most - 3 * len(present) - 0.001 * most <= sum(got.values()) <= most + 1
+
+
 # ---- subjects ----------------------------------------------------------------------------
 
 def test_subjects_held_out(spark):
