@@ -1,12 +1,13 @@
 """Lines repeated across one site's documents, found by content-defined chunks.
 
 The visible text of a body (tags dropped, entities decoded, case and digits
-folded) is one stream of code points.  A gear-style rolling hash over the last
-WINDOW code points decides where chunks end; a line break saturates the hash,
-so chunks start afresh there and equal lines always give equal chunk
-sequences.  Distinct documents are counted per source and chunk; chunks under
-the limits are dropped.  A line all of whose chunks are repeated is then
-counted itself, since equal chunks need not come from equal lines.
+folded) is one stream of code points, line breaks being characters like others.
+A gear-style rolling hash over the last WINDOW code points decides where chunks
+end.  A chunk that lies inside a line and begins WINDOW characters or more after
+its start depends on the line alone, wherever the line stands.  Distinct
+documents are counted per source and chunk, and chunks under the limits are
+dropped.  Lines whose chunks are all repeated, and those too short to hold one,
+are then counted themselves, since equal chunks need not come from equal lines.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from ..session import cut
 from .grams import codes, mix
 
 WINDOW = 8
-CUT_MASK = np.uint64(0x1F)
+CUT_MASK = np.uint64(0xF)
 MIN_ITEMS = 6
 MIN_SHARE = 0.15
 
@@ -44,35 +45,30 @@ def visible_line(line: str) -> str:
 
 
 def chunk_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(line index, chunk hash) of every chunk of the joined lines."""
+    """(line index, hash) of the chunks of the joined lines that lie inside a line
+    and depend on it alone."""
     stream = codes("\n".join(lines) + "\n").astype(np.uint64)
-    breaks = stream == 10
     gear = mix(stream)
-    gear[breaks] = 0
-    # distance to the last break bounds how far back the window may look
     pos = np.arange(len(stream))
-    last = np.maximum.accumulate(np.where(breaks, pos, -1))
-    since = pos - last
     h = np.zeros(len(stream), dtype=np.uint64)
-    for k in range(WINDOW):
-        part = np.zeros_like(h)
-        part[k:] = gear[: len(stream) - k] << np.uint64(k)
-        h += np.where(since > k, part, np.uint64(0))
-    ends = breaks | ((mix(h) & CUT_MASK) == 0)
-    at = np.flatnonzero(ends)
-    starts = np.r_[0, at[:-1] + 1]
-    line_of = np.cumsum(breaks)[starts] if len(starts) else np.zeros(0, dtype=np.int64)
+    for k in range(min(WINDOW, len(stream))):
+        h[k:] += gear[: len(stream) - k] << np.uint64(k)
+    at = np.flatnonzero((mix(h) & CUT_MASK) == 0)
+    if len(at) < 2:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    starts, ends = at[:-1] + 1, at[1:]
+    breaks = np.flatnonzero(stream == 10)
+    line_of = np.searchsorted(breaks, starts)
+    line_start = np.r_[0, breaks + 1][line_of]
+    # the hash at the cut before the chunk looks back WINDOW characters
+    keep = (starts >= line_start + WINDOW) & (ends < breaks[np.minimum(line_of, len(breaks) - 1)])
     # polynomial hash of each chunk by position inside it
     begin = np.zeros(len(stream), dtype=np.int64)
     begin[starts] = starts
-    begin = np.maximum.accumulate(begin)
-    inside = (pos - begin).astype(np.uint64)
+    inside = (pos - np.maximum.accumulate(begin)).astype(np.uint64)
     value = mix(gear ^ mix(inside + np.uint64(1)) * _P)
-    value[breaks] = 0
-    sums = np.add.reduceat(value, starts) if len(starts) else np.zeros(0, dtype=np.uint64)
-    lengths = at - starts + 1 - breaks[at]
-    keep = lengths > 0
-    return line_of[keep], mix(sums[keep] + lengths[keep].astype(np.uint64))
+    sums = np.add.reduceat(value, np.r_[starts, at[-1] + 1] if at[-1] + 1 < len(stream) else starts)[: len(starts)]
+    return line_of[keep], mix(sums + (ends - starts + 1).astype(np.uint64))[keep]
 
 
 def _chunked(batches):
@@ -118,20 +114,26 @@ def repeated_lines(
     )
     bodies = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(body_col).alias("body")).filter("item_id is not null and body is not null")
     lines = bodies.mapInPandas(_chunked, "item_id string, line_no int, line string, chunks array<long>")
-    lines = lines.select("item_id", "line_no", F.xxhash64("line").alias("line_hash"), F.md5("line").alias("line"), F.array_distinct("chunks").alias("chunks"))
+    lines = lines.select("item_id", "line_no", F.md5("line").alias("line"), F.array_distinct("chunks").alias("chunks"))
     placed = cut(lines.join(pairs, "item_id").select("item_id", "line_no", "source_id", F.unhex("line").alias("line"), "chunks"))
 
+    chunked = placed.select("item_id", "line_no", "source_id", "line", F.size("chunks").alias("size"), F.explode("chunks").alias("chunk"))
     per_chunk = (
-        placed.select("source_id", "item_id", F.explode("chunks").alias("chunk"))
-        .groupBy("source_id", "chunk", F.xxhash64("item_id").alias("item")).agg(F.lit(1).alias("one"))
+        chunked.groupBy("source_id", "chunk", F.xxhash64("item_id").alias("item")).agg(F.lit(1).alias("one"))
         .groupBy("source_id", "chunk").agg(F.count(F.lit(1)).alias("items"))
         .join(need, "source_id").filter("items >= need").select("source_id", "chunk")
     )
-    by_source = per_chunk.groupBy("source_id").agg(F.collect_set("chunk").alias("repeated"))
-    # a source can have at most 1 / min_share chunks per chunk of its average item, so this set is small
-    candidates = placed.join(by_source, "source_id").filter(F.size(F.array_except("chunks", "repeated")) == 0).select("item_id", "line_no", "source_id", "line")
+    # repeated chunks are few (at most 1 / min_share for each chunk of a source's average item), so this join
+    # is broadcast where they are small; else it shuffles by (source, chunk), which spreads a source
+    covered = (
+        chunked.join(per_chunk, ["source_id", "chunk"], "left_semi")
+        .groupBy("item_id", "line_no", "source_id", "line", "size").agg(F.count(F.lit(1)).alias("hit")).filter("hit >= size")  # more where a row of items is repeated
+    )
+    short = placed.filter(F.size("chunks") == 0)
+    columns = ["item_id", "line_no", "source_id", "line"]
+    candidates = covered.select(*columns).unionByName(short.select(*columns))
     exact = (
-        candidates.select("source_id", "line", "item_id").distinct()
+        candidates.groupBy("source_id", "line", F.xxhash64("item_id").alias("item")).agg(F.lit(1).alias("one"))
         .groupBy("source_id", "line").agg(F.count(F.lit(1)).alias("items"))
         .join(need, "source_id").filter("items >= need").select("source_id", "line")
     )

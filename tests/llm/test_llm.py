@@ -57,9 +57,18 @@ def test_repeated_lines_against_brute_force(spark):
 
 
 def test_equal_lines_have_equal_chunks():
-    a, ha = repeated_lines.chunk_hashes(["something quite different", "the same line in both", "x"])
-    b, hb = repeated_lines.chunk_hashes(["the same line in both"])
-    assert list(ha[a == 1]) == list(hb) and len(hb) >= 1
+    rng = random.Random(4)
+    words = [f"word{rng.random():.5f}" for _ in range(300)]
+    line = " ".join(rng.choice(words) for _ in range(30))
+    seen = []
+    for _ in range(40):
+        before = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))) or "x" for _ in range(rng.randrange(4))]
+        after = ["y" * rng.randrange(1, 9)] * rng.randrange(3)
+        at, hashes = repeated_lines.chunk_hashes([*before, line, *after])
+        seen.append(hashes[at == len(before)].tolist())
+    assert all(x == seen[0] for x in seen) and len(seen[0]) >= 5
+    for short in ([""], ["x"], ["", ""], ["ab" * 3]):
+        assert len(repeated_lines.chunk_hashes(short)[1]) == 0
 
 
 # ---- look-alikes --------------------------------------------------------------
@@ -247,18 +256,31 @@ def test_large_families_with_edits_spread_out(spark):
     assert got <= want and len(got) >= 0.999 * len(want) and len(want) > 1500
 
 
-def test_divide_skip_and_components(spark):
-    rng = random.Random(5)
-    for _ in range(50):
-        lists = [sorted(rng.sample(range(40), rng.randrange(1, 30))) for _ in range(8)]
-        t = rng.randrange(1, 7)
-        want = sorted(x for x in range(40) if sum(x in lst for lst in lists) >= t)
-        assert near_duplicates.divide_skip(lists, t, rng.randrange(0, 8)) == want
+def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 102)], "a long, b long")
     got = {r["doc"]: r["root"] for r in near_duplicates.components(links).collect()}
     assert all(got[i] == 0 for i in range(31)) and got[102] == 100 and len(got) == 34
 
 
+def test_evenly_spaced_edits_just_over_the_threshold(spark, monkeypatch):
+    """One character edited in every 33 to 40, Jaccard 0.60 to 0.66; long lists in blocks."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 7)
+    rng = random.Random(21)
+    rows = []
+    for k in range(60):
+        base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.choice([300, 900, 3000]))]
+        rows.append((f"{k:02d}", " ".join("".join(base).split())))
+        step = rng.randrange(33, 41)
+        rows.append((f"{k:02d}e", " ".join("".join("#" if i % step == 5 else c for i, c in enumerate(base)).split())))
+    rows += [(f"t{i:02d}", "a shared template of some length with words and words " * 4 + f"no {i}") for i in range(40)]
+    got = {tuple(r) for r in near_duplicates.found_pairs(near_duplicates.near_duplicates(spark.createDataFrame(rows, "id string, search_text string"))).collect()}
+    sets = {i: grams(t) for i, t in rows}
+    ids = sorted(sets)
+    want = {(a, b) for x, a in enumerate(ids) for b in ids[x + 1 :] if len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    edited = [w for w in want if w[1].endswith("e")]
+    assert got <= want and len(got) >= 0.99 * len(want) and len([w for w in edited if w in got]) >= 0.9 * len(edited) and len(edited) >= 20
+
+
 # ---- vectors -------------------------------------------------------------------------
 
 def test_vectors_against_brute_force(spark):
