@@ -476,6 +476,21 @@ def test_subjects_held_out(spark):
     good = sum(got.get(i, set()) == truth[i] for i in held)
     assert good / len(held) > 0.9
     assert subjects.document_subjects(d, lab.limit(0)).count() == 0
+    joined = {(r["doc_id"], r["subject"], r["hits"], r["sentences"]) for r in subjects.document_subjects(d, lab, broadcast_rules=0).collect()}
+    assert joined == {tuple(r) for r in subjects.document_subjects(d, lab).collect()}
+
+
+def test_mining_ends_on_long_near_copies(spark):
+    long = " ".join(f"rareword{i}" for i in range(40))
+    docs = [(i, f"{long} copy{i}. Plain filler text here.") for i in range(6)] + [(10 + i, f"Other{i} thing entirely goal{i % 3}.") for i in range(20)]
+    labels = [(i, "law") for i in range(6)] + [(10 + i, "sport") for i in range(20)]
+    d, lab = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string")
+    assert subjects.document_subjects(d, lab).count() >= 0
+
+
+def test_calibration_pools_falling_rates():
+    got = dict(subjects.calibrated([(0, 100, 30), (1, 100, 20), (2, 100, 60), (3, 50, 20), (4, 10, 10)]))
+    assert got[0] == got[1] == 0.25 and got[2] == got[3] == 80 / 150 and got[4] == 1.0
 
 
 def test_sentences():
