@@ -14,7 +14,12 @@ import re
 import unicodedata
 from datetime import datetime, timedelta, timezone
 from functools import lru_cache
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UTC = timezone.utc
 RULE_BREAK = 20.0
@@ -272,6 +277,28 @@ def readings(text: str | None, fetched_us: int | None, order: str | None, zone_n
     return kept
 
 
+def _first_by_rule(text, fetched, order, zone):
+    got = [r for r in readings(text, None if pd.isna(fetched) else int(fetched), order, zone) if r[2] < RULE_BREAK]
+    return got[0][0] if got else None
+
+
+@F.pandas_udf(T.LongType())
+def _parsed_us(text: pd.Series, fetched_us: pd.Series, order: pd.Series, zone: pd.Series) -> pd.Series:
+    return pd.Series([_first_by_rule(*x) for x in zip(text, fetched_us, order, zone)], dtype="Int64")
+
+
+def parse_date(text: Column, fetched: Column, order: Column, zone: Column) -> Column:
+    """Instant of a date text read on its own: its cheapest reading that keeps the
+    declared order; null where there is none."""
+    return F.timestamp_micros(_parsed_us(text, F.unix_micros(fetched), order, zone))
+
+
+def zone_offset_minutes(at: Column, zone: Column) -> Column:
+    """Minutes a zone is ahead of UTC at an instant; null for an unknown zone."""
+    known = F.when(zone.isin(sorted(available_timezones())), zone)
+    return ((F.unix_micros(F.from_utc_timestamp(at, known)) - F.unix_micros(at)) / 60_000_000).cast("int")
+
+
 _BACK = re.compile(r"(\d{1,9})\s*([smhdw])", re.I)
 _BACK_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 

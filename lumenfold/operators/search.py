@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import snippet, term_frequency, text_score
+from ..functions.text import iso_millis, snippet, term_frequency, text_score
 
 RRF_K = 60
 MAX_DISTANCE = 0.6
@@ -69,20 +71,59 @@ def fuse(text: DataFrame, vector: DataFrame, k: int = RRF_K) -> DataFrame:
     return text.join(vector, "id", "full_outer").withColumn("rrf", part("text_rank") + part("vector_rank"))
 
 
-def hybrid_search(items: DataFrame, distances: DataFrame, terms: list[str], limit: int = 20, depth: int | None = None, max_distance: float = MAX_DISTANCE) -> DataFrame:
-    """Both arms, fused, then the wide columns joined back to the few hits."""
+HIT_COLUMNS = ("id", "url", "title", "published_at", "summary", "snippet", "rrf", "text_rank", "vector_rank")
+
+
+@dataclass
+class SearchResult:
+    """mode is `hybrid` or `text-only`, also where there are no hits."""
+
+    mode: str
+    hits: DataFrame
+
+
+def _hits(top: DataFrame, terms: list[str]) -> DataFrame:
+    """The columns of a hit; only the few hits are cut, marked and formatted."""
+    return top.withColumn("snippet", snippet(F.col("search_text"), terms)).withColumn("published_at", iso_millis(F.col("published_at"))).select(*HIT_COLUMNS)
+
+
+def _no_hits(items: DataFrame) -> DataFrame:
+    empty = items.limit(0).withColumns({"rrf": F.lit(0.0), "text_rank": F.lit(0), "vector_rank": F.lit(0)})
+    return _hits(empty, [])
+
+
+def hybrid_search(
+    items: DataFrame, distances: DataFrame, terms: list[str], limit: int = 20, depth: int | None = None, max_distance: float = MAX_DISTANCE, filtered: bool = True
+) -> DataFrame:
+    """Both arms, fused, then the wide columns joined back to the few hits.  The
+    vector arm is restricted to `items` where these were `filtered`; otherwise
+    its top rows find their items in the last join."""
+    if not terms:
+        return _no_hits(items)
     n = depth_of(limit, depth)
-    inside = distances.join(items.select("id"), "id", "left_semi")
+    inside = distances.join(items.select("id"), "id", "left_semi") if filtered else distances
     fused = fuse(text_arm(items, terms, n), vector_arm(inside, n, max_distance))
     wide = items.join(F.broadcast(fused), "id")  # at most two arms of `n` rows
     top = wide.orderBy(F.desc("rrf"), F.desc("published_at"), F.asc("id")).limit(limit)
-    return top.withColumn("snippet", snippet(F.col("search_text"), terms))
+    return _hits(top, terms).orderBy(F.desc("rrf"), F.desc("published_at"), F.asc("id"))
 
 
 def text_only_search(items: DataFrame, terms: list[str], limit: int = 20, depth: int | None = None) -> DataFrame:
+    """The text arm alone, in the same shape: one arm's rank orders as its fusion does."""
+    if not terms:
+        return _no_hits(items)
     arm = text_arm(items, terms, depth_of(limit, depth))
     top = items.join(F.broadcast(arm), "id").orderBy("text_rank").limit(limit)
-    return top.withColumn("snippet", snippet(F.col("search_text"), terms))
+    top = top.withColumn("rrf", F.lit(1.0) / (F.lit(float(RRF_K)) + F.col("text_rank"))).withColumn("vector_rank", F.lit(None).cast("int"))
+    return _hits(top, terms).orderBy("text_rank")
+
+
+def search(items: DataFrame, terms: list[str], distances: DataFrame | None = None, limit: int = 20, **options) -> SearchResult:
+    """Hybrid where there are distances to a query vector, else text alone.  A
+    query without terms has no hits, and the mode it would have with some."""
+    if distances is None:
+        return SearchResult("text-only", text_only_search(items, terms, limit))
+    return SearchResult("hybrid", hybrid_search(items, distances, terms, limit, **options))
 
 
 def text_scores(items: DataFrame, terms: list[str], limit: int = 20) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import net, text, urls
-from ..functions.date_text import readings
-from ..operators import embeddings, ingest, search, timeline
+from ..functions import date_text
+from ..operators import embeddings, ingest, requests, search, timeline
 from ..session import table
 from ..sources import feeds
 
@@ -15,6 +15,7 @@ TERMS = ["compiler", "database", "データベース"]
 NOW = "2026-08-10 00:00:00"
 SINCE = "2025-06-01 00:00:00"
 LIMIT = 20
+_SQL_BLANK = r"[\t\n\x0B\f\r\x20\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -67,19 +68,29 @@ def _vector_arm_sql(ceiling: float) -> str:
 
 _FUSED = """fused AS (SELECT coalesce(t.id, v.id) AS id, text_rank, vector_rank, coalesce(1.0::DOUBLE / (60 + text_rank), 0) + coalesce(1.0::DOUBLE / (60 + vector_rank), 0) AS rrf
  FROM text_arm t FULL OUTER JOIN vector_arm v ON t.id = v.id)"""
-_BASE = "base AS (SELECT id, search_text, published_at FROM items)"
+_BASE = "base AS (SELECT * FROM items)"
+
+
+_ISO = "strftime({0} AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ')"
+_AT = """least(nullif(length(regexp_extract(' ' || lower(search_text) || ' ', '(?s)^(.*?[^a-z0-9])compiler[^a-z0-9]', 1)), 0),
+ nullif(length(regexp_extract(' ' || lower(search_text) || ' ', '(?s)^(.*?[^a-z0-9])database[^a-z0-9]', 1)), 0), nullif(strpos(lower(search_text), 'データベース'), 0))"""
+_CUT = f"substr(search_text, CAST(greatest({_AT} - 80, 1) AS BIGINT), 160)"
+_SNIPPET = f"""CASE WHEN {_AT} IS NOT NULL THEN replace(replace(replace(replace(replace(replace(
+ regexp_replace({_CUT}, '(?i)(データベース|\\bcompiler\\b|\\bdatabase\\b)', chr(57344) || '\\1' || chr(57345), 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'),
+ chr(57344), '<span class="keyword">'), chr(57345), '</span>') END"""
+_HIT = f"b.id, b.url, b.title, {_ISO.format('b.published_at')} AS published_at, b.summary, {_SNIPPET} AS snippet"
 
 
 def _hybrid_sql(base: str = _BASE) -> str:
     return f"""WITH {base}, {_TEXT_ARM}, {_QV}, {_DIST}, {_vector_arm_sql(0.9)}, {_FUSED}
- SELECT f.id, text_rank, vector_rank, round(rrf, 6) AS rrf FROM fused f JOIN base b ON b.id = f.id
+ SELECT {_HIT}, round(f.rrf, 6) AS rrf, text_rank, vector_rank, 'hybrid' AS mode FROM fused f JOIN base b ON b.id = f.id
  ORDER BY f.rrf DESC, b.published_at DESC, f.id LIMIT {LIMIT}"""
 
 
 # ---- search -------------------------------------------------------------------
 
 def _items(spark, d):
-    return table(spark, d, "items").select("id", "title", "search_text", "published_at")
+    return table(spark, d, "items").select("id", "url", "title", "summary", "search_text", "published_at")
 
 
 def _query_vector(spark, d):
@@ -108,9 +119,20 @@ def text_arm(spark, d):
     return arm.select("id", F.round("text_score", 6).alias("text_score"), F.col("text_rank").cast("long").alias("text_rank"))
 
 
-@query(f"WITH {_BASE}, {_TEXT_ARM} SELECT id, text_rank FROM text_arm ORDER BY text_rank LIMIT {LIMIT}")
+def _rows(result: search.SearchResult) -> DataFrame:
+    ranks = {c: F.col(c).cast("long") for c in ("text_rank", "vector_rank")}
+    return result.hits.withColumns({**ranks, "rrf": F.round("rrf", 6), "mode": F.lit(result.mode)})
+
+
+@query(f"""WITH {_BASE}, {_TEXT_ARM} SELECT {_HIT}, round(1.0::DOUBLE / (60 + text_rank), 6) AS rrf, text_rank, CAST(NULL AS BIGINT) AS vector_rank, 'text-only' AS mode
+ FROM text_arm t JOIN base b ON b.id = t.id ORDER BY text_rank LIMIT {LIMIT}""")
 def text_only_search(spark, d):
-    return search.text_only_search(_items(spark, d), TERMS, LIMIT).select("id", F.col("text_rank").cast("long").alias("text_rank"))
+    return _rows(search.search(_items(spark, d), TERMS, limit=LIMIT))
+
+
+@query(f"WITH {_BASE} SELECT {_HIT}, 0.0::DOUBLE AS rrf, CAST(NULL AS BIGINT) AS text_rank, CAST(NULL AS BIGINT) AS vector_rank, 'hybrid' AS mode FROM base b LIMIT 0")
+def empty_search(spark, d):
+    return _rows(search.search(_items(spark, d), text.search_terms("  "), _distances(spark, d), LIMIT))
 
 
 @query(f"WITH {_QV}, {_DIST} SELECT id, round(distance, 6) AS distance FROM dist WHERE distance IS NOT NULL ORDER BY dist.distance, id LIMIT 200")
@@ -138,38 +160,37 @@ def rrf_fuse(spark, d):
     return fused.select("id", F.col("text_rank").cast("long").alias("text_rank"), F.col("vector_rank").cast("long").alias("vector_rank"), F.round("rrf", 6).alias("rrf"))
 
 
-def _hybrid(spark, d, items):
-    hits = search.hybrid_search(items, _distances(spark, d), TERMS, LIMIT, max_distance=0.9)
-    return hits.select("id", F.col("text_rank").cast("long").alias("text_rank"), F.col("vector_rank").cast("long").alias("vector_rank"), F.round("rrf", 6).alias("rrf"))
+def _hybrid(spark, d, items, filtered=True):
+    return _rows(search.search(items, TERMS, _distances(spark, d), LIMIT, max_distance=0.9, filtered=filtered))
 
 
 @query(_hybrid_sql())
 def hybrid_search(spark, d):
-    return _hybrid(spark, d, _items(spark, d))
+    return _hybrid(spark, d, _items(spark, d), filtered=False)
 
 
-@query(_hybrid_sql(f"base AS (SELECT id, search_text, published_at FROM items WHERE published_at >= TIMESTAMPTZ '{SINCE}+00')"))
+@query(_hybrid_sql(f"base AS (SELECT * FROM items WHERE published_at >= TIMESTAMPTZ '{SINCE}+00')"))
 def filter_since(spark, d):
     return _hybrid(spark, d, search.restrict(_items(spark, d), since=F.to_timestamp(F.lit(SINCE))))
 
 
-@query(_hybrid_sql("base AS (SELECT id, search_text, published_at FROM items i WHERE EXISTS (SELECT 1 FROM item_sources s WHERE s.item_id = i.id AND s.source_id = (SELECT min(id) FROM sources)))"))
+@query(_hybrid_sql("base AS (SELECT * FROM items i WHERE EXISTS (SELECT 1 FROM item_sources s WHERE s.item_id = i.id AND s.source_id = (SELECT min(id) FROM sources)))"))
 def filter_source(spark, d):
     return _hybrid(spark, d, search.restrict(_items(spark, d), links=table(spark, d, "item_sources"), source_id=_one_source(spark, d)))
 
 
-@query(_hybrid_sql("base AS (SELECT id, search_text, published_at FROM items i WHERE NOT EXISTS (SELECT 1 FROM item_state s WHERE s.item_id = i.id AND s.user_id = (SELECT min(user_id) FROM sources) AND s.read_at IS NOT NULL))"))
+@query(_hybrid_sql("base AS (SELECT * FROM items i WHERE NOT EXISTS (SELECT 1 FROM item_state s WHERE s.item_id = i.id AND s.user_id = (SELECT min(user_id) FROM sources) AND s.read_at IS NOT NULL))"))
 def filter_unread(spark, d):
     return _hybrid(spark, d, search.restrict(_items(spark, d), state=table(spark, d, "item_state"), user_id=_one_user(spark, d)))
 
 
-@query()
+@query(f"SELECT id, {_SNIPPET} AS snippet FROM items WHERE {_AT} IS NOT NULL")
 def snippet(spark, d):
     items = _items(spark, d)
     return items.select("id", text.snippet(F.col("search_text"), TERMS).alias("snippet")).filter("snippet is not null")
 
 
-@query()
+@query(f"SELECT id, trim(regexp_replace({_CUT}, '{_SQL_BLANK}', ' ', 'g')) AS text FROM items WHERE {_AT} IS NOT NULL")
 def snippet_text(spark, d):
     return snippet(spark, d).select("id", text.snippet_text("snippet").alias("text"))
 
@@ -200,6 +221,28 @@ def timeline_unread(spark, d):
     return rows.select("id", "url", "title", F.unix_micros("published_at").alias("published_us"), "published_at_estimated", F.unix_micros("starred_at").alias("starred_us"))
 
 
+@query("""WITH s AS (SELECT min(id) AS s FROM sources) SELECT i.id, i.url, i.title, i.author, epoch_us(i.published_at) AS published_us, i.published_at_estimated, i.summary FROM items i
+ WHERE EXISTS (SELECT 1 FROM item_sources l, s WHERE l.item_id = i.id AND l.source_id = s.s) ORDER BY i.published_at DESC, i.id LIMIT 50""")
+def timeline_source(spark, d):
+    state = timeline.latest_state(table(spark, d, "item_state"))
+    asked = requests.list_request(unread="false", source_id=_one_source(spark, d))
+    rows = timeline.timeline(table(spark, d, "items"), table(spark, d, "item_sources"), state, _one_user(spark, d), asked.unread, asked.source_id, asked.limit)
+    return rows.select("id", "url", "title", "author", F.unix_micros("published_at").alias("published_us"), "published_at_estimated", "summary")
+
+
+@query("""WITH c AS (SELECT 'missing' AS outcome, NULL AS id UNION ALL SELECT 'short', NULL UNION ALL SELECT CASE WHEN count(*) > 1 THEN 'ambiguous' WHEN count(*) = 1 THEN 'found' ELSE 'missing' END, CASE WHEN count(*) = 1 THEN min(id) END
+ FROM items WHERE starts_with(id, (SELECT substr(min(id), 1, 8) FROM items)) UNION ALL SELECT 'found', max(id) FROM items UNION ALL SELECT 'missing', NULL) SELECT outcome, id FROM c""")
+def resolve_prefix_cases(spark, d):
+    """No hex, too short, eight digits, a whole id in capitals, and no such id."""
+    items = table(spark, d, "items")
+    ends = items.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).head()
+    out = None
+    for prefix in ("xyz", ends["lo"][:7], ends["lo"][:8], f" {ends['hi'].upper()} ", "0" * 64):
+        one = timeline.resolve_prefix(items, prefix)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("""WITH p AS (SELECT substr(min(id), 1, 12) AS p FROM items), h AS (SELECT count(*) AS n, min(id) AS id FROM items, p WHERE id LIKE p || '%')
  SELECT CASE WHEN n = 0 THEN 'missing' WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN id END AS id FROM h""")
 def resolve_prefix(spark, d):
@@ -227,17 +270,61 @@ def health_counts(spark, d):
     return timeline.health_counts(table(spark, d, "sources"), table(spark, d, "items"))
 
 
-@query("SELECT (SELECT count(*) FROM items) AS total, (SELECT count(*) FROM item_embeddings) AS embedded, (SELECT count(*) FROM items WHERE id NOT IN (SELECT item_id FROM item_embeddings)) AS pending")
+def _failures(spark, d):
+    """A failures table: items that somebody skipped, due again a year after."""
+    skipped = table(spark, d, "item_state").filter("skipped_at is not null").groupBy("item_id").agg(F.max("skipped_at").alias("at"))
+    return skipped.select("item_id", F.lit(1).alias("failures"), F.lit("x").alias("last_error"), F.timestamp_seconds(F.unix_timestamp("at") + 31_536_000).alias("next_attempt_at"))
+
+
+_FAILED = "f AS (SELECT item_id, to_timestamp(floor(epoch(max(skipped_at))) + 31536000) AS due FROM item_state WHERE skipped_at IS NOT NULL GROUP BY item_id)"
+_OPEN = f"id NOT IN (SELECT item_id FROM item_embeddings) AND id NOT IN (SELECT item_id FROM f WHERE due > TIMESTAMPTZ '{NOW}+00')"
+
+
+@query(f"""WITH {_FAILED} SELECT (SELECT count(*) FROM items) AS total, (SELECT count(*) FROM item_embeddings) AS embedded, (SELECT count(*) FROM f) AS failed, (SELECT count(*) FROM items WHERE {_OPEN}) AS pending""")
 def embedding_counts(spark, d):
-    return embeddings.counts(table(spark, d, "items"), table(spark, d, "item_embeddings"))
+    return embeddings.counts(table(spark, d, "items"), table(spark, d, "item_embeddings"), _failures(spark, d), _now())
 
 
-@query("SELECT id, epoch_us(published_at) AS published_us FROM items WHERE id NOT IN (SELECT item_id FROM item_embeddings) ORDER BY published_at DESC, id LIMIT 64")
+@query("SELECT count(*) AS total, CAST(0 AS BIGINT) AS embedded, CAST(0 AS BIGINT) AS failed, count(*) AS pending FROM items")
+def embedding_counts_without_vectors(spark, d):
+    return embeddings.counts(table(spark, d, "items"), None)
+
+
+@query(f"WITH {_FAILED} SELECT id, epoch_us(published_at) AS published_us FROM items WHERE {_OPEN} ORDER BY published_at DESC, id LIMIT 64")
 def pending_embeddings(spark, d):
-    rows = embeddings.pending(table(spark, d, "items"), table(spark, d, "item_embeddings"), None, _now(), 64)
+    rows = embeddings.pending(table(spark, d, "items"), table(spark, d, "item_embeddings"), _failures(spark, d), _now(), embeddings.pass_size())
     return rows.select("id", F.unix_micros("published_at").alias("published_us"))
 
 
+@query(f"WITH {_FAILED} SELECT item_id, epoch_us(due) AS due_us FROM f WHERE item_id NOT IN (SELECT item_id FROM item_embeddings)")
+def embedding_failures_cleared(spark, d):
+    left = embeddings.clear_failures(_failures(spark, d), table(spark, d, "item_embeddings"))
+    return left.select("item_id", F.unix_micros("next_attempt_at").alias("due_us"))
+
+
+@query("SELECT source_id, item_id, 2 AS width FROM (SELECT DISTINCT source_id, item_id FROM item_sources)")
+def unnest_batch(spark, d):
+    links = table(spark, d, "item_sources").select("source_id", "item_id").distinct()
+    batch = links.withColumn("bucket", F.substring("item_id", 1, 2)).groupBy("source_id", "bucket").agg(F.collect_list("item_id").alias("item_ids"))
+    batch = batch.withColumn("vectors", F.transform("item_ids", lambda x: F.array(F.lit(0.0), F.length(x).cast("double"))))
+    rows = batch.groupBy("source_id", "bucket").agg(F.first("item_ids").alias("item_ids"), F.first("vectors").alias("vectors"))
+    each = rows.select("source_id", F.explode(F.arrays_zip("item_ids", "vectors")).alias("x"))
+    return each.select("source_id", F.col("x.item_ids").alias("item_id"), F.size("x.vectors").alias("width"))
+
+
+def _length_vector(texts):
+    if any("%" in t for t in texts):
+        raise embeddings.Rejected("percent sign")
+    return [[float(len(t)), 1.0] for t in texts]
+
+
+@query("""SELECT sum((t NOT LIKE '%\\%%' ESCAPE '\\')::BIGINT)::BIGINT AS embedded, sum((t LIKE '%\\%%' ESCAPE '\\')::BIGINT)::BIGINT AS failed, false AS idle FROM (SELECT search_text AS t FROM items)""")
+def embed_pass(spark, d):
+    """A pass over all items with a provider that rejects texts with a per cent sign."""
+    rows = table(spark, d, "items").select(F.col("id").alias("item_id"), F.col("search_text").alias("text"))
+    return embeddings.pass_totals(embeddings.embed_pass(rows, _length_vector))
+
+
 @query("SELECT item_id, source_id, epoch_us(first_seen_at) AS seen_us FROM item_sources WHERE source_id <> (SELECT min(id) FROM sources)")
 def source_delete(spark, d):
     _, links = timeline.delete_source(table(spark, d, "sources"), table(spark, d, "item_sources"), _one_source(spark, d))
@@ -268,7 +355,17 @@ def item_identity(spark, d):
     return table(spark, d, "items").select("id", urls.item_identity(F.col("url")).alias("identity"))
 
 
-@query()
+_KEPT_PARTS = f"list_filter(string_split(p.query, '&'), lambda x: x <> '')"
+_CLEAN_PARTS = f"list_filter(string_split(p.query, '&'), lambda p: p <> '' AND NOT ({_NOISE}))"
+_RAW_URL = f"""raw AS (SELECT r.*, coalesce(s.site_url, s.url) AS base FROM raw_items r LEFT JOIN sources s ON s.id = r.source_id),
+ joined AS (SELECT *, CASE WHEN url LIKE 'http%' THEN url WHEN url LIKE '/%' THEN regexp_extract(base, '^(https?://[^/?#]+)', 1) || url ELSE regexp_extract(base, '^(https?://[^/?#]+(?:/[^?#]*/)?)', 1) || CASE WHEN regexp_matches(base, '^https?://[^/?#]+/[^?#]*/') THEN '' ELSE '/' END || url END AS whole FROM raw),
+ split AS (SELECT *, regexp_extract(trim(whole), '(?i)^(https?)://([^/?#:]*)(:[0-9]*)?([^?#]*)(?:\\?([^#]*))?(#.*)?', ['scheme', 'host', 'port', 'path', 'query', 'hash']) AS p FROM joined),
+ resolved AS (SELECT *, {_CLEAN_PARTS} AS clean FROM split),
+ web AS (SELECT *, lower(p.scheme) || '://' || lower(p.host) || p.port || CASE WHEN p.path = '' THEN '/' ELSE p.path END
+ || CASE WHEN len(clean) = len({_KEPT_PARTS}) THEN CASE WHEN p.query = '' THEN '' ELSE '?' || p.query END WHEN len(clean) = 0 THEN '' ELSE '?' || array_to_string(clean, '&') END || p.hash AS resolved FROM resolved)"""
+
+
+@query(f"WITH {_RAW_URL} SELECT raw_id, resolved FROM web")
 def resolve_url(spark, d):
     return urls.with_resolved(_raw_with_base(spark, d), "url", "base").select("raw_id", "resolved")
 
@@ -278,9 +375,6 @@ def _raw_with_base(spark, d):
     return table(spark, d, "raw_items").join(sources, "source_id", "left")
 
 
-_SQL_BLANK = r"[\t\n\x0B\f\r\x20\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
-
-
 @query(f"SELECT raw_id, nullif(trim(regexp_replace(title, '{_SQL_BLANK}', ' ', 'g')), '') AS title FROM raw_items")
 def clean_text(spark, d):
     return table(spark, d, "raw_items").select("raw_id", text.clean_text(F.col("title")).alias("title"))
@@ -297,64 +391,135 @@ def embedding_input(spark, d):
     return table(spark, d, "items").select("id", text.embedding_input(F.col("title"), F.col("search_text")).alias("input"))
 
 
-DATE_CASES = [
-    "Sat, 09 Aug 2026 03:04:05 GMT", "2026-08-09T12:04:05+09:00", "Sat, 09 Aug 2026 12:04:05 JST", "2026年8月9日 12:04", "2026-08-09 03:04:05",
-    "3分前", "2時間前", "5 minutes ago", "an hour ago", "2031-01-01", "1970-01-01", "junk", "", None, "2026-08-09T13:00:00Z",
-]
+def _dated(spark, d, pattern: str):
+    """Raw dates of one form, with what their source's config says."""
+    config = table(spark, d, "sources").select(F.col("id").alias("source_id"), F.get_json_object("config", "$.date_order").alias("order"), F.get_json_object("config", "$.tz").alias("tz"))
+    raw = table(spark, d, "raw_items").filter(F.col("published_at_raw").rlike(pattern)).join(config, "source_id", "left")
+    instant = date_text.parse_date(F.col("published_at_raw"), F.col("fetched_at"), F.col("order"), F.col("tz"))
+    return raw.select("raw_id", F.unix_micros(instant).alias("us"))
 
 
-@query("""SELECT * FROM (VALUES (0, '2026-08-09 03:04:05'), (1, '2026-08-09 03:04:05'), (2, '2026-08-09 03:04:05'), (3, '2026-08-09 12:04:00'), (4, '2026-08-09 03:04:05'), (5, '2026-08-09 11:57:00'), (6, '2026-08-09 10:00:00'),
- (7, '2026-08-09 11:55:00'), (8, '2026-08-09 11:00:00'), (9, NULL), (10, NULL), (11, NULL), (12, NULL), (13, NULL), (14, '2026-08-09 13:00:00')) t(n, instant)""")
-def parse_date(spark, d):
-    import datetime as dt
+def _dated_sql(pattern: str, instant: str) -> str:
+    """SQL of the same: readings before 2000 or over a day ahead are null."""
+    return f"""WITH r AS (SELECT raw_id, fetched_at, trim(published_at_raw) AS t, json_extract_string(config, '$.tz') AS tz, coalesce(json_extract_string(config, '$.date_order'), 'dmy') AS o
+ FROM raw_items LEFT JOIN sources ON sources.id = source_id WHERE regexp_matches(published_at_raw, '{pattern}')), i AS (SELECT raw_id, fetched_at, {instant} AS x FROM r)
+ SELECT raw_id, CASE WHEN x >= TIMESTAMPTZ '2000-01-01 00:00:00+00' AND x <= fetched_at + INTERVAL 24 HOUR THEN epoch_us(x) END AS us FROM i"""
 
-    fetched = int(dt.datetime(2026, 8, 9, 12, tzinfo=dt.timezone.utc).timestamp()) * 1_000_000
-    rows = []
-    for i, s in enumerate(DATE_CASES):
-        got = readings(s, fetched, "dmy", None)
-        rows.append((i, got[0][0] if got else None))
-    return spark.createDataFrame(rows, "n int, us long").select("n", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss").alias("instant"))
 
+_RFC822 = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun), [0-9]{2} (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} (GMT|UTC|[+-][0-9]{4})\z"
+_NAMED = r"^(Mon|Tue|Wed|Thu|Fri|Sat|Sun), [0-9]{2} (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2} (JST|CEST|EDT|PDT)\z"
+_RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})\z"
+_PLAIN_DATE = r"^[0-9]{4}[-/][0-9]{2}[-/][0-9]{2}( [0-9]{2}:[0-9]{2}(:[0-9]{2})?)?\z"
+_JAPANESE = r"^[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日\z"
+_AGO = r"^[0-9]+ (minute|hour|day)s? ago\z"
+_MAE = r"^[0-9]+(分|時間|日)前\z"
+_NUMERIC = r"^[0-9]{2}/[0-9]{2}/[0-9]{4} [0-9]{2}:[0-9]{2}\z"
+_LOCAL = "AT TIME ZONE coalesce(tz, 'UTC')"
 
-@query("SELECT * FROM (VALUES ('Asia/Tokyo', 540), ('UTC', 0), ('Mars/Olympus_Mons', NULL)) t(zone, minutes)")
-def tz_offset(spark, d):
-    from ..functions.date_text import zone_of
-    import datetime as dt
 
-    at = dt.datetime(2026, 8, 9, 12, tzinfo=dt.timezone.utc)
-    out = [(z, None if zone_of(z) is None else int(at.astimezone(zone_of(z)).utcoffset().total_seconds() // 60)) for z in ("Asia/Tokyo", "UTC", "Mars/Olympus_Mons")]
-    return spark.createDataFrame(out, "zone string, minutes int")
+@query(_dated_sql(_RFC822, "strptime(regexp_replace(regexp_replace(substr(t, 6), '(GMT|UTC)$', '+0000'), '([+-][0-9]{2})([0-9]{2})$', '\\1:\\2'), '%d %b %Y %H:%M:%S %z')"))
+def date_rfc822(spark, d):
+    return _dated(spark, d, _RFC822)
+
+
+@query(_dated_sql(_RFC3339, "CAST(t AS TIMESTAMPTZ)"))
+def date_rfc3339(spark, d):
+    return _dated(spark, d, _RFC3339)
+
+
+@query(_dated_sql(_NAMED, "(strptime(regexp_replace(substr(t, 6), ' [A-Z]+$', ''), '%d %b %Y %H:%M:%S') - INTERVAL 1 MINUTE * CASE regexp_extract(t, '[A-Z]+$') WHEN 'JST' THEN 540 WHEN 'CEST' THEN 120 WHEN 'EDT' THEN -240 ELSE -420 END) AT TIME ZONE 'UTC'"))
+def date_named_zone(spark, d):
+    return _dated(spark, d, _NAMED)
+
+
+@query(_dated_sql(_PLAIN_DATE, f"TRY_CAST(replace(t, '/', '-') || CASE WHEN length(t) = 10 THEN ' 00:00:00' WHEN length(t) = 16 THEN ':00' ELSE '' END AS TIMESTAMP) {_LOCAL}"))
+def date_plain(spark, d):
+    return _dated(spark, d, _PLAIN_DATE)
+
+
+@query(_dated_sql(_JAPANESE, f"make_timestamp(CAST(regexp_extract(t, '^([0-9]+)年', 1) AS BIGINT), CAST(regexp_extract(t, '年([0-9]+)月', 1) AS BIGINT), CAST(regexp_extract(t, '月([0-9]+)日', 1) AS BIGINT), 0, 0, 0.0) {_LOCAL}"))
+def date_japanese(spark, d):
+    return _dated(spark, d, _JAPANESE)
+
+
+@query(_dated_sql(f"{_AGO}|{_MAE}", "fetched_at - INTERVAL 1 SECOND * (CAST(regexp_extract(t, '^[0-9]+') AS BIGINT) * CASE WHEN t LIKE '%minute%' OR t LIKE '%分%' THEN 60 WHEN t LIKE '%hour%' OR t LIKE '%時間%' THEN 3600 ELSE 86400 END)"))
+def date_relative(spark, d):
+    return _dated(spark, d, f"{_AGO}|{_MAE}")
+
+
+@query(_dated_sql(_NUMERIC, f"CASE o WHEN 'dmy' THEN try_strptime(t, '%d/%m/%Y %H:%M') ELSE try_strptime(t, '%m/%d/%Y %H:%M') END {_LOCAL}"))
+def date_numeric(spark, d):
+    return _dated(spark, d, _NUMERIC)
 
 
 @query()
+def parse_date(spark, d):
+    """All raw dates, each read on its own."""
+    return _dated(spark, d, "")
+
+
+@query(f"""SELECT id, json_extract_string(config, '$.tz') AS zone, CAST((epoch_us((TIMESTAMPTZ '{NOW}+00' AT TIME ZONE json_extract_string(config, '$.tz')) AT TIME ZONE 'UTC') - epoch_us(TIMESTAMPTZ '{NOW}+00')) / 60000000 AS INT) AS minutes FROM sources""")
+def tz_offset(spark, d):
+    zone = F.get_json_object("config", "$.tz")
+    return table(spark, d, "sources").select("id", zone.alias("zone"), date_text.zone_offset_minutes(_now(), zone).alias("minutes"))
+
+
+_STRIPPED = """trim(regexp_replace(concat_ws(' ', coalesce({title}, ''), regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(content_html, summary, ''), '(?is)<script.*?</script>', ' ', 'g'),
+ '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&(?:nbsp|amp|lt|gt|quot|#[0-9]+);', ' ', 'g')), '{blank}', ' ', 'g'))"""
+_CLEAN = "nullif(trim(regexp_replace({0}, '{1}', ' ', 'g')), '')"
+
+
+@query(f"""WITH {_RAW_URL}, canon AS (SELECT *, 'https://' || lower(p.host) || CASE WHEN length(p.path) > 1 AND p.path LIKE '%/' THEN substr(p.path, 1, length(p.path) - 1) WHEN p.path = '' THEN '/' ELSE p.path END
+ || CASE WHEN len(clean) = 0 THEN '' ELSE '?' || array_to_string(list_sort(clean), '&') END AS canonical_url FROM web)
+ SELECT sha256(canonical_url) AS id, resolved AS url, canonical_url, {_CLEAN.format('title', _SQL_BLANK)} AS title, {_CLEAN.format('author', _SQL_BLANK)} AS author, nullif(trim(guid), '') AS guid, nullif(content_html, '') AS content_html,
+ {_CLEAN.format('summary', _SQL_BLANK)} AS summary, {_STRIPPED.format(title=_CLEAN.format('title', _SQL_BLANK), blank=_SQL_BLANK)} AS search_text, epoch_us(fetched_at) AS fetched_us, source_id FROM canon""")
 def normalize_items(spark, d):
+    """Raw records as items; their instants are the rows of p1_instants."""
+    rows = _raw_with_base(spark, d).withColumn("instant", F.lit(None).cast("timestamp"))
+    items = ingest.normalize_items(rows)
+    return items.select("id", "url", "canonical_url", "title", "author", "guid", "content_html", "summary", "search_text", F.unix_micros("fetched_at").alias("fetched_us"), "source_id")
+
+
+@query()
+def normalize_items_dated(spark, d):
+    """Raw records as items, with the instants of their sources' chains."""
     from ..operators.instants import normalise_instants
 
     raw = _raw_with_base(spark, d).join(table(spark, d, "sources").select(F.col("id").alias("source_id"), "config"), "source_id", "left")
     instants = normalise_instants(raw).select("raw_id", "instant", "by_rule")
-    rows = raw.join(instants, "raw_id").withColumn("instant", F.when(F.col("by_rule"), F.col("instant")))
-    return ingest.normalize_items(rows)
+    return ingest.normalize_items(raw.join(instants, "raw_id").withColumn("instant", F.when(F.col("by_rule"), F.col("instant"))))
 
 
-@query()
+@query("""SELECT id, regexp_replace(regexp_replace(replace(content_html, 'https://', '/'), '(href|src)="(/[^"]*)"', '\\1="' || regexp_extract(url, '^(https?://[^/?#]+)', 1) || '\\2"', 'g'), '&', '&', 'g') AS content_html FROM items WHERE content_html IS NOT NULL""")
 def absolutize_html(spark, d):
-    return table(spark, d, "items").filter("content_html is not null").select("id", urls.absolutize_html("content_html", "url").alias("content_html"))
+    """Bodies whose links lost their scheme and became paths, made absolute again."""
+    rows = table(spark, d, "items").filter("content_html is not null").select("id", "url", F.replace("content_html", F.lit("https://"), F.lit("/")).alias("content_html"))
+    return rows.select("id", urls.absolutize_html("content_html", "url").alias("content_html"))
 
 
-@query()
+@query("""SELECT id, CASE WHEN search_text <> '' THEN search_text WHEN coalesce(summary, '') <> '' THEN summary ELSE '(no body)' END AS text, coalesce(summary, '(no summary)') AS summary FROM items""")
 def render_item(spark, d):
-    body = F.coalesce("content_html", "summary", F.lit(""))
-    plain = text.collapse(F.regexp_replace(F.regexp_replace(body, r"<[^>]+>", " "), r"&(?:nbsp|amp|lt|gt|quot|#[0-9]+);", " "))
-    return table(spark, d, "items").select("id", F.coalesce("title", F.lit("(untitled)")).alias("title"), plain.alias("text"), F.coalesce("summary", F.substring(plain, 1, 280)).alias("summary"))
+    parts = (F.col("content_html"), F.col("search_text"), F.col("summary"))
+    return table(spark, d, "items").select("id", text.render(*parts, "text").alias("text"), text.render(*parts, "summary").alias("summary"))
+
+
+@query()
+def render_markdown(spark, d):
+    return table(spark, d, "items").select("id", text.render(F.col("content_html"), F.col("search_text"), F.col("summary"), "markdown").alias("markdown"))
+
+
+@query("""SELECT to_json(struct_pack(id := id, url := url, title := title, published_at := strftime(published_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S.%gZ'))) AS json FROM items""")
+def items_json(spark, d):
+    return requests.as_json(table(spark, d, "items").select("id", "url", "title", text.iso_millis(F.col("published_at")).alias("published_at")))
 
 
 # ---- ingest -----------------------------------------------------------------------
 
 RSS = """<?xml version="1.0"?><rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>T</title>
-<item><title>Hello</title><link>https://example.com/hello</link><guid isPermaLink="false">tag:example.com,2026:hello</guid><pubDate>Sat, 09 Aug 2026 03:04:05 GMT</pubDate>
-<dc:creator>Ada</dc:creator><description>Short teaser</description><content:encoded><![CDATA[<p>Full</p>]]></content:encoded></item><item><title>No link</title></item></channel></rss>"""
-ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Hi</title><link href="https://example.com/hi"/><id>x</id><updated>2026-08-09T03:04:05Z</updated><author><name>Ada</name></author><content type="html">&lt;p&gt;x&lt;/p&gt;</content></entry></feed>"""
-JSON_FEED = '{"version": "https://jsonfeed.org/version/1.1", "items": [{"id": "1", "url": "https://example.com/j", "title": "J", "date_published": "2026-08-09T03:04:05Z", "author": {"name": "Ada"}, "content_html": "<p>j</p>"}]}'
+<item><title>Harbour opens</title><link>https://n.example/first</link><guid isPermaLink="false">tag:n.example,2026:1</guid><pubDate>Tue, 14 Jul 2026 21:40:09 GMT</pubDate>
+<dc:creator>Mio Tanaka</dc:creator><description>In brief</description><content:encoded><![CDATA[<p>Full</p>]]></content:encoded></item><item><title>No link</title></item></channel></rss>"""
+ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Second note</title><link href="https://n.example/second"/><id>x</id><updated>2026-07-14T21:40:09Z</updated><author><name>Mio Tanaka</name></author><content type="html">&lt;p&gt;x&lt;/p&gt;</content></entry></feed>"""
+JSON_FEED = '{"version": "https://jsonfeed.org/version/1.1", "items": [{"id": "1", "url": "https://n.example/third", "title": "Third note", "date_published": "2026-07-14T21:40:09Z", "author": {"name": "Mio Tanaka"}, "content_html": "<p>j</p>"}]}'
 OPML = '<opml><body><outline text="Group"><outline title="A" xmlUrl="https://a.example/rss" htmlUrl="https://a.example/"/><outline text="B" xmlUrl="https://b.example/rss"/></outline><outline text="A again" xmlUrl="https://a.example/rss"/></body></opml>'
 
 
@@ -363,8 +528,8 @@ def _bodies(spark):
     return spark.createDataFrame(rows, "feed_id int, body binary, content_type string")
 
 
-@query("""SELECT * FROM (VALUES (1, 'https://example.com/hello', 'Hello', 'Ada', 'tag:example.com,2026:hello', 'Sat, 09 Aug 2026 03:04:05 GMT', '<p>Full</p>', 'Short teaser'),
- (2, 'https://example.com/hi', 'Hi', 'Ada', 'x', '2026-08-09T03:04:05Z', '<p>x</p>', NULL), (3, 'https://example.com/j', 'J', 'Ada', '1', '2026-08-09T03:04:05Z', '<p>j</p>', NULL))
+@query("""SELECT * FROM (VALUES (1, 'https://n.example/first', 'Harbour opens', 'Mio Tanaka', 'tag:n.example,2026:1', 'Tue, 14 Jul 2026 21:40:09 GMT', '<p>Full</p>', 'In brief'),
+ (2, 'https://n.example/second', 'Second note', 'Mio Tanaka', 'x', '2026-07-14T21:40:09Z', '<p>x</p>', NULL), (3, 'https://n.example/third', 'Third note', 'Mio Tanaka', '1', '2026-07-14T21:40:09Z', '<p>j</p>', NULL))
  t(feed_id, url, title, author, guid, published_at_raw, content_html, summary)""")
 def feed_parse(spark, d):
     return feeds.feed_items(feeds.parse_feeds(_bodies(spark))).drop("position")
@@ -468,3 +633,38 @@ def target_allowed(spark, d):
     targets = spark.createDataFrame([("https://a.example/x",), ("http://b.example/",), ("ftp://a.example/",), ("https://c.example",)], "url string")
     resolved = spark.createDataFrame([("a.example", "8.8.8.8"), ("b.example", "8.8.8.8"), ("b.example", "10.0.0.1")], "host string, address string")
     return net.target_allowed(targets, resolved)
+
+
+@query("""WITH r AS (SELECT user_id, url, row_number() OVER (PARTITION BY user_id, url) AS n FROM (SELECT user_id, url FROM sources UNION ALL SELECT user_id, url || '?new' FROM sources UNION ALL SELECT user_id, url || '?new' FROM sources))
+ SELECT user_id, url, CASE WHEN n = 1 AND url LIKE '%?new' THEN 'created' ELSE 'already subscribed' END AS outcome FROM r""")
+def subscribe(spark, d):
+    s = table(spark, d, "sources").select("user_id", "url")
+    new = s.withColumn("url", F.concat("url", F.lit("?new")))
+    return ingest.subscribe(s.unionByName(new).unionByName(new), s)
+
+
+_STEP = """WITH r AS (SELECT *, CASE WHEN length(url) % 5 = 0 THEN 304 WHEN length(url) % 5 = 1 THEN 404 WHEN length(url) % 5 = 2 THEN 503 ELSE 200 END AS code, CASE WHEN length(url) % 2 = 0 THEN content_hash ELSE sha256(url) END AS h, length(url) % 7 <> 0 AS ok FROM sources),
+ o AS (SELECT *, CASE WHEN code = 304 THEN 'unchanged' WHEN code = 200 AND h = content_hash THEN 'unchanged' WHEN code = 200 AND ok THEN 'fetched' WHEN code = 404 THEN 'failed' ELSE 'retry' END AS outcome FROM r),
+ f AS (SELECT *, CASE WHEN outcome IN ('failed', 'retry') THEN consecutive_failures + 1 ELSE 0 END AS n FROM o)
+ SELECT id AS source_id, outcome, n AS consecutive_failures, CASE WHEN outcome IN ('failed', 'retry') AND n >= 5 THEN 'degraded' WHEN outcome IN ('fetched', 'unchanged') AND status = 'degraded' THEN 'active' ELSE status END AS status,
+ CASE WHEN outcome = 'fetched' THEN h ELSE content_hash END AS content_hash, CASE WHEN outcome = 'fetched' THEN 'new' ELSE etag END AS etag,
+ CASE WHEN outcome IN ('fetched', 'unchanged') THEN CAST(fetch_interval_seconds AS BIGINT) ELSE CAST(least(fetch_interval_seconds * pow(2.0, least(n + CASE WHEN outcome = 'failed' THEN 2 ELSE 0 END, 10)), 86400) AS BIGINT) END AS wait FROM f"""
+
+
+@query(_STEP)
+def fetch_step(spark, d):
+    """One poll of all sources, whose answers go by the length of their URL."""
+    s = table(spark, d, "sources")
+    n = F.length("url")
+    status = F.when(n % 5 == 0, 304).when(n % 5 == 1, 404).when(n % 5 == 2, 503).otherwise(200)
+    body = F.when(n % 2 == 0, F.col("content_hash")).otherwise(F.sha2("url", 256))
+    answers = s.select(F.col("id").alias("source_id"), status.alias("status"), body.alias("body_hash"), F.lit("new").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(None).cast("string").alias("error"))
+    parsed = s.select(F.col("id").alias("source_id"), (n % 7 != 0).alias("ok"))
+    return ingest.fetch_step(answers, s, parsed, _now()).select("source_id", "outcome", "consecutive_failures", "status", "content_hash", "etag", "wait")
+
+
+@query("SELECT id, true AS near FROM sources")
+def next_fetch(spark, d):
+    s = table(spark, d, "sources").withColumn("at", ingest.next_fetch(_now(), F.col("fetch_interval_seconds"), 7))
+    late = F.unix_micros("at") - F.unix_micros(_now()) - F.col("fetch_interval_seconds").cast("long") * 1_000_000
+    return s.select("id", (F.abs(late) <= F.col("fetch_interval_seconds").cast("long") * 100_000).alias("near"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import xml.etree.ElementTree as ET
@@ -19,6 +20,25 @@ _META = re.compile(rb"<meta[^>]+charset\s*=\s*[\"']?([A-Za-z0-9._-]+)", re.I)
 _HEADER = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9._-]+)", re.I)
 
 
+# Labels of the web that mean another encoding than their name says.
+WEB_LABELS = {
+    "iso-8859-1": "cp1252", "iso8859-1": "cp1252", "latin1": "cp1252", "l1": "cp1252", "us-ascii": "cp1252", "ascii": "cp1252", "windows-1252": "cp1252", "x-cp1252": "cp1252",
+    "iso-8859-9": "cp1254", "latin5": "cp1254", "iso-8859-11": "cp874", "tis-620": "cp874", "windows-874": "cp874",
+    "gb2312": "gb18030", "gb_2312-80": "gb18030", "gbk": "gb18030", "x-gbk": "gb18030", "chinese": "gb18030",
+    "shift_jis": "cp932", "shift-jis": "cp932", "sjis": "cp932", "x-sjis": "cp932", "ms_kanji": "cp932", "windows-31j": "cp932",
+    "x-euc-jp": "euc_jp", "euc-kr": "cp949", "ks_c_5601-1987": "cp949", "korean": "cp949", "windows-949": "cp949", "big5": "big5hkscs", "x-x-big5": "big5hkscs",
+    "unicode-1-1-utf-8": "utf-8", "utf8": "utf-8", "utf-16": "utf-16-le", "x-mac-cyrillic": "mac_cyrillic", "macintosh": "mac_roman", "x-user-defined": "latin-1",
+}
+
+
+def _as_controls(error: UnicodeDecodeError):
+    """Bytes that windows-1252 leaves open are the control characters of their number."""
+    return "".join(map(chr, error.object[error.start : error.end])), error.end
+
+
+codecs.register_error("lumenfold-controls", _as_controls)
+
+
 def decode_bytes(body: bytes | None, content_type: str | None) -> str | None:
     """Text of a body: BOM, then XML declaration, then <meta>, then header,
     then UTF-8; unknown labels are UTF-8 and bad bytes are replaced."""
@@ -33,10 +53,11 @@ def decode_bytes(body: bytes | None, content_type: str | None) -> str | None:
     if label is None and content_type:
         h = _HEADER.search(content_type)
         label = h[1] if h else None
-    label = {"shift_jis": "cp932", "x-sjis": "cp932"}.get((label or "utf-8").lower(), label or "utf-8")
+    label = (label or "utf-8").strip().lower()
+    label = WEB_LABELS.get(label, label)
     try:
-        return body.decode(label, "replace")
-    except LookupError:
+        return body.decode(label, "lumenfold-controls" if label == "cp1252" else "replace")
+    except (LookupError, UnicodeError):
         return body.decode("utf-8", "replace")
 
 
@@ -50,30 +71,42 @@ def is_json_feed(content_type, body):
     return F.coalesce(F.lower(content_type).contains("json"), F.lit(False)) | F.ltrim(body).startswith("{")
 
 
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1].lower()
+# Name spaces whose elements are known by a prefix, and those whose are not.
+PREFIXES = {"http://purl.org/dc/elements/1.1/": "dc:", "http://purl.org/rss/1.0/modules/content/": "content:"}
+UNPREFIXED = {"", "http://www.w3.org/2005/Atom", "http://purl.org/atom/ns#", "http://purl.org/rss/1.0/", "http://my.netscape.com/rdf/simple/0.9/", "http://backend.userland.com/rss2"}
+
+
+def _name(tag) -> str:
+    """Lower-case name with the usual prefix of its name space; elements of other
+    name spaces never pass for plain ones."""
+    if not isinstance(tag, str):
+        return ""
+    space, _, local = tag[1:].rpartition("}") if tag.startswith("{") else ("", "", tag)
+    if space in UNPREFIXED:
+        return local.lower()
+    return f"{PREFIXES.get(space, space + ' ')}{local}".lower()
 
 
-# Element names by namespace prefix, in the order they are tried.
+# Element names by field, in the order they are tried.
 KEYS = {
-    "author": ["creator", "author"],
-    "content_html": ["encoded", "content", "description", "summary"],
+    "author": ["dc:creator", "author", "creator"],
+    "content_html": ["content:encoded", "content", "description", "summary"],
     "guid": ["guid", "id"],
-    "published_at_raw": ["pubdate", "published", "updated", "date"],
+    "published_at_raw": ["pubdate", "published", "updated", "dc:date", "date"],
     "summary": ["description", "summary"],
     "title": ["title"],
 }
 
 
 def _text(node) -> str | None:
-    """Own text, else a name child, else an href."""
+    """Own text between and around children, else a name child, else an href."""
     if node is None:
         return None
-    own = "".join(node.itertext() if not len(node) else [node.text or ""]).strip()
+    own = "".join([node.text or "", *[child.tail or "" for child in node]]).strip()
     if own:
         return own
     for child in node:
-        if _local(child.tag) == "name" and (child.text or "").strip():
+        if _name(child.tag) == "name" and (child.text or "").strip():
             return child.text.strip()
     return (node.get("href") or "").strip() or None
 
@@ -86,17 +119,17 @@ def parse_xml(text: str) -> list[dict] | None:
         return None
     out = []
     for entry in root.iter():
-        if _local(entry.tag) not in ("item", "entry"):
+        if _name(entry.tag) not in ("item", "entry"):
             continue
         first: dict = {}
         links = []
         for child in entry:
-            name = _local(child.tag)
+            name = _name(child.tag)
             if name == "link":
                 links.append(child)
             first.setdefault(name, child)
         chosen = next((x for x in links if x.get("rel", "alternate") == "alternate"), links[0] if links else None)
-        url = None if chosen is None else ((chosen.text or "").strip() or (chosen.get("href") or "").strip() or None)
+        url = _text(chosen) or _text(first.get("url"))
         if not url:
             continue
         item = {"url": url}
