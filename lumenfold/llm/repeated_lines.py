@@ -24,7 +24,7 @@ from ..session import cut
 from .grams import codes, mix
 
 WINDOW = 8
-CUT_MASK = np.uint64(0xF)
+CUT_MASK = np.uint64(0x1F)
 MIN_ITEMS = 6
 MIN_SHARE = 0.15
 
@@ -72,24 +72,31 @@ def chunk_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunked(batches):
+    """Lines with their chunks, and how many of these, the first ones, the item did
+    not have in a line before."""
     for pdf in batches:
-        ids, nos, lines, chunk_lists = [], [], [], []
+        ids, nos, lines, chunk_lists, fresh = [], [], [], [], []
         for item, body in zip(pdf["item_id"], pdf["body"]):
             if not body:
                 continue
-            seen = [visible_line(x) for x in body.split("\n")]
-            kept = [(i + 1, x) for i, x in enumerate(seen) if x]
+            shown = [visible_line(x) for x in body.split("\n")]
+            kept = [(i + 1, x) for i, x in enumerate(shown) if x]
             if not kept:
                 continue
             line_of, hashes = chunk_hashes([x for _, x in kept])
             order = np.searchsorted(line_of, np.arange(len(kept) + 1))
             signed = hashes.view(np.int64)
+            seen: set = set()
             for j, (no, text) in enumerate(kept):
+                own = set(signed[order[j] : order[j + 1]].tolist())
+                new = own - seen
+                seen |= new
                 ids.append(item)
                 nos.append(no)
                 lines.append(text)
-                chunk_lists.append(signed[order[j] : order[j + 1]].tolist())
-        yield pd.DataFrame({"item_id": ids, "line_no": np.asarray(nos, dtype=np.int32), "line": lines, "chunks": chunk_lists})
+                chunk_lists.append([*new, *(own - new)])
+                fresh.append(len(new))
+        yield pd.DataFrame({"item_id": ids, "line_no": np.asarray(nos, dtype=np.int32), "line": lines, "chunks": chunk_lists, "fresh": np.asarray(fresh, dtype=np.int32)})
 
 
 def repeated_lines(
@@ -113,31 +120,29 @@ def repeated_lines(
         "source_id", F.greatest(F.lit(min_items), F.ceil(F.col("n") * min_share - 1e-9)).alias("need")
     )
     bodies = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(body_col).alias("body")).filter("item_id is not null and body is not null")
-    lines = bodies.mapInPandas(_chunked, "item_id string, line_no int, line string, chunks array<long>")
-    lines = lines.select("item_id", "line_no", F.md5("line").alias("line"), F.array_distinct("chunks").alias("chunks"))
-    placed = cut(lines.join(pairs, "item_id").select("item_id", "line_no", "source_id", F.unhex("line").alias("line"), "chunks"))
+    lines = bodies.mapInPandas(_chunked, "item_id string, line_no int, line string, chunks array<long>, fresh int")
+    # a line of a source is known by 128 bits of both, so that rows stay small
+    keys = [F.xxhash64("source_id", "line").alias("k1"), F.xxhash64("line", "source_id").alias("k2")]
+    of_source = F.transform("chunks", lambda c: F.xxhash64("source_id", c)).alias("chunks")
+    placed = cut(lines.join(pairs.join(need, "source_id"), "item_id").select("item_id", "line_no", *keys, of_source, "fresh", "need"))
 
-    chunked = placed.select("item_id", "line_no", "source_id", "line", F.size("chunks").alias("size"), F.explode("chunks").alias("chunk"))
     per_chunk = (
-        chunked.groupBy("source_id", "chunk", F.xxhash64("item_id").alias("item")).agg(F.lit(1).alias("one"))
-        .groupBy("source_id", "chunk").agg(F.count(F.lit(1)).alias("items"))
-        .join(need, "source_id").filter("items >= need").select("source_id", "chunk")
+        placed.select(F.explode(F.slice("chunks", F.lit(1), F.col("fresh"))).alias("chunk"), "need")
+        .groupBy("chunk").agg(F.count(F.lit(1)).alias("items"), F.first("need").alias("need")).filter("items >= need").select("chunk")
     )
     # repeated chunks are few (at most 1 / min_share for each chunk of a source's average item), so this join
-    # is broadcast where they are small; else it shuffles by (source, chunk), which spreads a source
+    # is broadcast where they are small; else it shuffles by chunk, which spreads a source
+    columns = ["item_id", "line_no", "k1", "k2", "need"]
     covered = (
-        chunked.join(per_chunk, ["source_id", "chunk"], "left_semi")
-        .groupBy("item_id", "line_no", "source_id", "line", "size").agg(F.count(F.lit(1)).alias("hit")).filter("hit >= size")  # more where a row of items is repeated
+        placed.select(*columns, F.size("chunks").alias("size"), F.explode("chunks").alias("chunk")).join(per_chunk, "chunk", "left_semi")
+        .groupBy(*columns, "size").agg(F.count(F.lit(1)).alias("hit")).filter("hit >= size")  # more where a row of items is repeated
     )
-    short = placed.filter(F.size("chunks") == 0)
-    columns = ["item_id", "line_no", "source_id", "line"]
-    candidates = covered.select(*columns).unionByName(short.select(*columns))
+    candidates = covered.select(*columns).unionByName(placed.filter(F.size("chunks") == 0).select(*columns))
     exact = (
-        candidates.groupBy("source_id", "line", F.xxhash64("item_id").alias("item")).agg(F.lit(1).alias("one"))
-        .groupBy("source_id", "line").agg(F.count(F.lit(1)).alias("items"))
-        .join(need, "source_id").filter("items >= need").select("source_id", "line")
+        candidates.groupBy("k1", "k2", F.xxhash64("item_id").alias("item")).agg(F.first("need").alias("need"))
+        .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("items"), F.first("need").alias("need")).filter("items >= need").select("k1", "k2")
     )
-    return candidates.join(exact, ["source_id", "line"], "left_semi").select("item_id", "line_no").distinct()
+    return candidates.join(exact, ["k1", "k2"], "left_semi").select("item_id", "line_no").distinct()
 
 
 def without_lines(items: DataFrame, repeated: DataFrame, id_col: str = "id", body_col: str = "content_html") -> DataFrame:
