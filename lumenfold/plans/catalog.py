@@ -302,14 +302,13 @@ def embedding_failures_cleared(spark, d):
     return left.select("item_id", F.unix_micros("next_attempt_at").alias("due_us"))
 
 
-@query("SELECT source_id, item_id, 2 AS width FROM (SELECT DISTINCT source_id, item_id FROM item_sources)")
+@query("SELECT DISTINCT item_id, 2 AS width FROM item_sources")
 def unnest_batch(spark, d):
-    links = table(spark, d, "item_sources").select("source_id", "item_id").distinct()
-    batch = links.withColumn("bucket", F.substring("item_id", 1, 2)).groupBy("source_id", "bucket").agg(F.collect_list("item_id").alias("item_ids"))
-    batch = batch.withColumn("vectors", F.transform("item_ids", lambda x: F.array(F.lit(0.0), F.length(x).cast("double"))))
-    rows = batch.groupBy("source_id", "bucket").agg(F.first("item_ids").alias("item_ids"), F.first("vectors").alias("vectors"))
-    each = rows.select("source_id", F.explode(F.arrays_zip("item_ids", "vectors")).alias("x"))
-    return each.select("source_id", F.col("x.item_ids").alias("item_id"), F.size("x.vectors").alias("width"))
+    """Batches of items with a vector each (few share six digits of their id), as rows."""
+    ids = table(spark, d, "item_sources").select("item_id").distinct()
+    batches = ids.groupBy(F.substring("item_id", 1, 6).alias("batch")).agg(F.collect_list("item_id").alias("item_ids"))
+    batches = batches.withColumn("vectors", F.transform("item_ids", lambda x: F.array(F.lit(0.0), F.length(x).cast("double"))))
+    return embeddings.unnest_batch(batches, _now()).select("item_id", F.size("embedding").alias("width"))
 
 
 def _length_vector(texts):
