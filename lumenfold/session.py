@@ -59,3 +59,11 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores, before work that is heavy
+    per row: a table of one small file would else be one task.  Tables that fill
+    the cores by themselves are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
