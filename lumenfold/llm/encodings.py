@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .grams import codes
 
 LOST = "�"
@@ -628,6 +629,6 @@ def garbled_values(rows: DataFrame, id_col: str = "id", fields: tuple[str, ...]
     for f in fields:
         part = rows.select(F.col(id_col).cast("string").alias("id"), F.lit(f).alias("field"), F.col(f).cast("string").alias("text"))
         values = part if values is None else values.unionByName(part)
-    values = values.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
+    values = spread(values.filter(F.col("id").isNotNull() & F.col("text").isNotNull()))
     model = rows.sparkSession.sparkContext.broadcast(corpus_model(values))
     return values.mapInPandas(_restored(model), "id string, field string, text string, decoded int, lost int")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 SHARDS = 4096
 NEAR_COST = 0.5
@@ -340,7 +340,7 @@ def canonical_texts(rows: DataFrame, id_col: str = "id", fields: tuple[str, ...]
         part = rows.select(F.col(id_col).cast("string").alias("id"), F.lit(f).alias("field"), F.col(f).cast("string").alias("text"))
         values = part if values is None else values.unionByName(part)
     values = values.filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    scanned = cut(values.mapInPandas(_scan, _SCANNED))
+    scanned = cut(spread(values).mapInPandas(_scan, _SCANNED))
     settled = scanned.filter(f"kind = {ROW} and canon is not null").select("id", "field", "raw", "canon", F.col("dirty").alias("text"))
     open_rows = scanned.filter(f"kind = {ROW} and canon is null")
 

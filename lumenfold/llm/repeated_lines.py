@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from .grams import codes, mix
 
 WINDOW = 8
@@ -120,7 +120,7 @@ def repeated_lines(
         "source_id", F.greatest(F.lit(min_items), F.ceil(F.col("n") * min_share - 1e-9)).alias("need")
     )
     bodies = items.select(F.col(id_col).cast("string").alias("item_id"), F.col(body_col).alias("body")).filter("item_id is not null and body is not null")
-    lines = bodies.mapInPandas(_chunked, "item_id string, line_no int, line string, chunks array<long>, fresh int")
+    lines = spread(bodies).mapInPandas(_chunked, "item_id string, line_no int, line string, chunks array<long>, fresh int")
     # a line of a source is known by 128 bits of both, so that rows stay small
     keys = [F.xxhash64("source_id", "line").alias("k1"), F.xxhash64("line", "source_id").alias("k2")]
     of_source = F.transform("chunks", lambda c: F.xxhash64("source_id", c)).alias("chunks")
