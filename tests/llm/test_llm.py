@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -488,6 +489,67 @@ def test_mining_ends_on_long_near_copies(spark):
     assert subjects.document_subjects(d, lab).count() >= 0
 
 
+def rules_by_force(rows, most_words):
+    """mine_rules over (words, subjects) rows, by all sets of their telling words."""
+    prior = {s: sum(s in x for _, x in rows) / len(rows) for _, own in rows for s in own}
+    n, k = {}, {}
+
+    def count(only):
+        n.clear(), k.clear()
+        for found, own in rows:
+            w = sorted(x for x in found if only is None or x in only)
+            for size in range(1, (1 if only is None else most_words) + 1):
+                for c in itertools.combinations(w, size):
+                    n[c] = n.get(c, 0) + 1
+                    for s in own:
+                        k[c, s] = k.get((c, s), 0) + 1
+
+    confidence = lambda c, s: (k[c, s] + subjects.PRIOR_WEIGHT * prior[s]) / (n[c] + subjects.PRIOR_WEIGHT)
+    count(None)
+    count({c[0] for c, s in k if n[c] >= subjects.MIN_SUPPORT and confidence(c, s) >= max(subjects.MIN_CONFIDENCE, 1.5 * prior[s])})
+    sure = {(c, s): confidence(c, s) for (c, s), v in k.items() if v >= subjects.MIN_SUPPORT}
+    return {
+        (c, s): x for (c, s), x in sure.items()
+        if x >= subjects.MIN_CONFIDENCE and not any(sure.get((p, s), 0) >= x - subjects.NEAR_CONFIDENCE for size in range(1, len(c)) for p in itertools.combinations(c, size))
+    }
+
+
+def mined(spark, rows):
+    seen = spark.createDataFrame([(bytes([i >> 8, i & 255]), sorted(w), sorted(s), False) for i, (w, s) in enumerate(rows)], "key binary, words array<string>, subjects array<string>, held boolean")
+    return {(w, s): c for w, s, c in subjects.mine_rules(seen)}
+
+
+def test_mining_has_all_telling_words(spark):
+    """Rules of the words past a sentence's eight most telling ones, and of more than three words."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):  # the eight sure words of law come before a0 to a3, which only together are law
+        rows.append(({f"law{j}" for j in range(8)} | {f"a{j}" for j in range(4)}, {"law"}))
+        rows.append(({f"a{j}" for j in range(4) if j != i % 4} | {f"noise{rng.randrange(30)}"}, {"law"} if i % 12 < 7 else {"sport"}))
+        rows.append(({"goal", f"noise{rng.randrange(30)}"}, {"sport", "food"} if i % 3 else {"sport"}))
+        rows.append(({f"plain{i % 7}"}, {"food"}))
+    for i in range(90):  # three words of law in any two, none by all of them
+        own = rng.sample(["b0", "b1", "b2", "b3", "b4"], rng.choice([1, 2, 3, 4, 5]))
+        rows.append(({*own, f"noise{rng.randrange(30)}"}, {"law"} if len(own) > 3 or rng.random() < 0.5 else {"food"}))
+    got, force = mined(spark, rows), rules_by_force(rows, 12)
+    assert got == pytest.approx(force)
+    assert any(len(w) > 3 for w, _ in got)
+    assert (("a0", "a1", "a2", "a3"), "law") in got
+
+
+def test_mining_ends_on_long_near_copies_of_two_subjects(spark):
+    long = [f"rareword{i:02}" for i in range(40)]
+    rows = [({*long, f"copy{i}"} - {long[i]}, {"law"} if i < 4 else {"sport"}) for i in range(6)]
+    rows += [({f"other{i}", f"goal{i % 3}"}, {"sport"}) for i in range(8)] + [({f"thing{i}"}, {"food"}) for i in range(8)]
+    got = mined(spark, rows)
+    assert {w for w, s in got if s == "law" and len(w) == 1} == {(w,) for w in long[4:]}
+
+
+def test_all_labelled_documents_are_read(spark):
+    lab = spark.range(20_500).selectExpr("id as doc_id", "'law' as subject")
+    assert subjects.labelled(lab).count() == 20_500
+
+
 def test_calibration_pools_falling_rates():
     got = dict(subjects.calibrated([(0, 100, 30), (1, 100, 20), (2, 100, 60), (3, 50, 20), (4, 10, 10)]))
     assert got[0] == got[1] == 0.25 and got[2] == got[3] == 80 / 150 and got[4] == 1.0
